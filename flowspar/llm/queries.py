@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from flowspar.llm import near
+from flowspar.llm import decontaminate, mixing, near, suffix
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_suffix_array_repeats(spark, sf_dir):
+    return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
+
+
+def op6_poisson_source_mix(spark, sf_dir):
+    return mixing.poisson_mix(_table(spark, sf_dir, "documents"))
+
+
+def op8_wu_manber_leaks(spark, sf_dir):
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_lsh_forest_near_duplicates(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_lsh_forest_near_duplicates,)}
+    return {f.__name__: f for f in (op2_suffix_array_repeats, op6_poisson_source_mix, op8_wu_manber_leaks, op10_lsh_forest_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_suffix_array_repeats": suffix.sql(), "op6_poisson_source_mix": mixing.sql(), "op8_wu_manber_leaks": decontaminate.sql()}
