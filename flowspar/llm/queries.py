@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
-from flowspar.llm import decontaminate, mixing, near, suffix
+from flowspar.llm import capture, chat, decontaminate, lattice, mixing, near, ogg, quality, suffix
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_importance_resampling(spark, sf_dir):
+    return quality.importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_array_repeats(spark, sf_dir):
     return suffix.repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op3_capture_index(spark, sf_dir):
+    return capture.capture_index(_table(spark, sf_dir, "pages"))
+
+
+def op4_reply_trees(spark, sf_dir):
+    return chat.reply_paths(chat.reply_parents(_table(spark, sf_dir, "conversations")))
+
+
+def op5_lattice_likelihood(spark, sf_dir):
+    return lattice.lattice_ranks(_table(spark, sf_dir, "documents"))
+
+
 def op6_poisson_source_mix(spark, sf_dir):
     return mixing.poisson_mix(_table(spark, sf_dir, "documents"))
 
 
+def op7_ogg_packets(spark, sf_dir):
+    return ogg.ogg_packets(ogg.documents_as_ogg(_table(spark, sf_dir, "documents")))
+
+
 def op8_wu_manber_leaks(spark, sf_dir):
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -25,9 +45,29 @@ def op10_lsh_forest_near_duplicates(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_importance_resampling,
+    op2_suffix_array_repeats,
+    op3_capture_index,
+    op4_reply_trees,
+    op5_lattice_likelihood,
+    op6_poisson_source_mix,
+    op7_ogg_packets,
+    op8_wu_manber_leaks,
+    op10_lsh_forest_near_duplicates,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_array_repeats, op6_poisson_source_mix, op8_wu_manber_leaks, op10_lsh_forest_near_duplicates)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_repeats": suffix.sql(), "op6_poisson_source_mix": mixing.sql(), "op8_wu_manber_leaks": decontaminate.sql()}
+    return {
+        "op2_suffix_array_repeats": suffix.sql(),
+        "op3_capture_index": capture.sql(),
+        "op4_reply_trees": chat.sql(),
+        "op6_poisson_source_mix": mixing.sql(),
+        "op7_ogg_packets": ogg.sql(),
+        "op8_wu_manber_leaks": decontaminate.sql(),
+    }
