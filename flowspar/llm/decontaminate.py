@@ -97,7 +97,8 @@ class WuManber:
             if len(zero):
                 place = at[zero]
                 first = load(place) & self.mask
-                ok = np.isin(tx.mix(first ^ tx.mix(h[zero].astype(np.uint64))), self.keys)
+                key = tx.mix(first ^ tx.mix(h[zero].astype(np.uint64)))
+                ok = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
                 found += zip(place[ok].tolist(), h[zero][ok].tolist(), first[ok].tolist())
                 step[zero] = 1
             at = at + step
