@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from flowspar.llm import capture, chat, decontaminate, lattice, mixing, near, ogg, quality, suffix
+import corpus_pipeline
+from flowspar.llm import capture, chat, decontaminate, lattice, mixing, near, ogg, quality, suffix, toxicity
 
 
 def _table(spark, sf_dir, name):
@@ -41,6 +42,10 @@ def op8_wu_manber_leaks(spark, sf_dir):
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_string_kernel_toxicity(spark, sf_dir):
+    return toxicity.toxic_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_lsh_forest_near_duplicates(spark, sf_dir):
     return near.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -54,16 +59,17 @@ QUERIES = (
     op6_poisson_source_mix,
     op7_ogg_packets,
     op8_wu_manber_leaks,
+    op9_string_kernel_toxicity,
     op10_lsh_forest_near_duplicates,
 )
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {**{f.__name__: f for f in QUERIES}, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    sql = {
         "op2_suffix_array_repeats": suffix.sql(),
         "op3_capture_index": capture.sql(),
         "op4_reply_trees": chat.sql(),
@@ -71,3 +77,4 @@ def oracle_sql() -> dict[str, str]:
         "op7_ogg_packets": ogg.sql(),
         "op8_wu_manber_leaks": decontaminate.sql(),
     }
+    return {**sql, **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}
