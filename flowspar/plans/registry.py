@@ -1,11 +1,475 @@
-"""All queries of the code-flow engine and their SQL equivalents."""
+"""All queries of the code-flow engine on the driver's tables, and their SQL equivalents.
+
+The tables hold no source code, so each query runs an engine operator on a graph or rule table derived from them.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from flowspar.functions import text as T
+from flowspar.operators import discovery as D
+from flowspar.operators import findings as N
+from flowspar.operators import label as L
+from flowspar.operators import match as M
+from flowspar.operators import search as G
+from flowspar.operators.dominance import dominance
+from flowspar.sources.tables import read
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- the event graph: an edge from each event to the user's next; signups are sources, purchases sinks
+
+
+def event_nodes(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "events")
+    return e.select(
+        F.format_string("e%d", "event_id").alias("node_id"), "event_id", "user_id", "ts", F.lit("assignment").alias("node_type"), F.col("event_type").alias("text"), F.format_string("u%d", "user_id").alias("file_path"),
+        F.col("event_id").cast("int").alias("line"), F.col("event_type").alias("function"), F.lit(None).cast("string").alias("var_name"), F.lit(None).cast("array<string>").alias("call_args"),
+    )
+
+
+def event_edges(nodes: DataFrame) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    step = nodes.select(F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.col("event_id").alias("seq"))
+    return step.where("dst is not null").withColumn("edge_type", F.lit("DATA_FLOW"))
+
+
+def event_rules(spark: SparkSession) -> DataFrame:
+    rows = [("sources", "signup_flow", "signup", 0), ("sinks", "purchase_flow", "purchase", 0), ("sanitizers", "error_check", "error", 0)]
+    return spark.createDataFrame(rows, "section string, category string, pattern string, ord int")
+
+
+def _event_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    nodes = L.label_nodes(event_nodes(spark, d), event_rules(spark))
+    return G.taint_paths(nodes.where("taint_source is not null"), nodes.where("taint_sink is not null"), event_edges(event_nodes(spark, d)), 20, 5), nodes
+
+
+_ORDERED = "o AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"
+_PAIRS = f"{_ORDERED}, p AS (SELECT a.event_id AS a, b.event_id AS b, a.user_id, a.rn AS ra, b.rn AS rb, (b.rn - a.rn)::INT AS hops FROM o a JOIN o b ON a.user_id = b.user_id AND b.rn > a.rn AND b.rn - a.rn <= 19 WHERE a.event_type = 'signup' AND b.event_type = 'purchase')"
+
+
+@query(f"WITH {_ORDERED[0:]}, p AS (SELECT a.event_id AS source_id, b.event_id AS sink_id, (b.rn - a.rn)::INT AS hops FROM o a JOIN o b ON a.user_id = b.user_id AND b.rn > a.rn AND b.rn - a.rn <= 19 WHERE a.event_type = 'signup' AND b.event_type = 'purchase') SELECT source_id, sink_id, hops, 'purchase_flow' AS category, 'medium' AS severity FROM p")
+def event_taint_reach(spark, d):
+    """G1: breadth-first taint search of at most 20 nodes."""
+    paths, _ = _event_paths(spark, d)
+    number = lambda c: F.substring(c, 2, 20).cast("bigint")
+    rows = paths.select(number("source").alias("source_id"), number("sink").alias("sink_id"), "hops", F.lit("purchase_flow").alias("category"))
+    return rows.withColumn("severity", N.severity("category"))
+
+
+@query(f"WITH {_PAIRS} SELECT a AS source_id, b AS sink_id, string_agg('e' || o.event_id, '>' ORDER BY o.rn) AS path FROM p JOIN o ON o.user_id = p.user_id AND o.rn BETWEEN ra AND rb GROUP BY a, b")
+def event_path_string(spark, d):
+    """The steps of each path, rendered."""
+    paths, nodes = _event_paths(spark, d)
+    rows = N.steps(paths, nodes, ["source", "sink"])
+    out = rows.groupBy("source", "sink").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id"))).alias("s"))
+    return out.select(F.substring("source", 2, 20).cast("bigint").alias("source_id"), F.substring("sink", 2, 20).cast("bigint").alias("sink_id"), F.array_join(F.transform("s", lambda x: x["node_id"]), ">").alias("path"))
+
+
+@query(f"WITH {_PAIRS} SELECT a AS source_id, b AS sink_id, bool_or(o.event_type = 'error') AS sanitized FROM p JOIN o ON o.user_id = p.user_id AND o.rn BETWEEN ra AND rb GROUP BY a, b")
+def event_sanitized(spark, d):
+    """T5: sanitizers met on the way."""
+    paths, nodes = _event_paths(spark, d)
+    clean = N.sanitizers(N.steps(paths, nodes, ["source", "sink"]), event_rules(spark), ["source", "sink"])
+    rows = paths.select("source", "sink").join(clean, ["source", "sink"], "left")
+    return rows.select(F.substring("source", 2, 20).cast("bigint").alias("source_id"), F.substring("sink", 2, 20).cast("bigint").alias("sink_id"), F.col("sanitizers").isNotNull().alias("sanitized"))
+
+
+@query(f"WITH {_ORDERED}, s AS (SELECT user_id, rn FROM o WHERE event_type = 'purchase') SELECT o.event_id, min(s.rn - o.rn)::INT AS depth FROM o JOIN s ON s.user_id = o.user_id AND s.rn - o.rn BETWEEN 0 AND 15 WHERE o.event_type = 'signup' GROUP BY o.event_id")
+def backward_sources(spark, d):
+    """Backward search from the sinks, 15 deep, down to the sources."""
+    nodes = event_nodes(spark, d)
+    found = G.trace(nodes.where("text = 'purchase'"), event_edges(nodes), 15, backward=True)
+    return found.join(nodes.where("text = 'signup'"), "node_id").select("event_id", "depth")
+
+
+@query(f"WITH {_ORDERED}, s AS (SELECT user_id, rn FROM o WHERE event_type = 'signup') SELECT o.event_id, min(o.rn - s.rn)::INT AS depth FROM o JOIN s ON s.user_id = o.user_id AND o.rn - s.rn BETWEEN 0 AND 15 WHERE o.event_type = 'purchase' GROUP BY o.event_id")
+def forward_sinks(spark, d):
+    """Forward search from the sources, 15 deep, to the sinks."""
+    nodes = event_nodes(spark, d)
+    found = G.trace(nodes.where("text = 'signup'"), event_edges(nodes), 15)
+    return found.join(nodes.where("text = 'purchase'"), "node_id").select("event_id", "depth")
+
+
+@query(f"WITH {_PAIRS}, f AS (SELECT a, b, hops, row_number() OVER (PARTITION BY b ORDER BY hops DESC, a) AS n FROM p), u AS (SELECT b, min(a) AS a FROM p GROUP BY b) SELECT user_id, count(*) AS pairs, max(hops) AS longest FROM p GROUP BY user_id")
+def reach_by_user(spark, d):
+    """A1: paths by file (here: user)."""
+    paths, nodes = _event_paths(spark, d)
+    return paths.join(nodes.select(F.col("node_id").alias("source"), "user_id"), "source").groupBy("user_id").agg(F.count("*").alias("pairs"), F.max("hops").alias("longest"))
+
+
+@query("""WITH t AS (SELECT conv_id, min(turn) AS a, max(turn) AS b, count(*) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, (n - 1)::INT AS hops FROM t WHERE n > 1""")
+def call_chain(spark, d):
+    """The chain of calls from the first turn of a conversation to its last."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", F.format_string("%d:%d", "conv_id", "turn").alias("node_id"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    edges = c.select(F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.col("turn").alias("seq"), F.lit("CALLS").alias("edge_type")).where("dst is not null")
+    ends = c.groupBy("conv_id").agg(F.min_by("node_id", "turn").alias("first"), F.max_by("node_id", "turn").alias("last"))
+    paths = G.taint_paths(ends.select(F.col("first").alias("node_id")), ends.select(F.col("last").alias("node_id")), edges, 20, 1)
+    return paths.select(F.substring_index("source", ":", 1).cast("bigint").alias("conv_id"), "hops")
+
+
+@query("""WITH li AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem),
+p AS (SELECT l_orderkey, l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_partkey) AS n FROM li)
+SELECT l_orderkey AS orderkey, l_suppkey AS suppkey, l_partkey AS partkey, n::INT AS nth FROM p WHERE n <= 5""")
+def paths_per_pair(spark, d):
+    """At most five paths for each pair, on the graph order -> part -> supplier."""
+    li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
+    return li.withColumn("nth", F.row_number().over(Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_partkey"))).where("nth <= 5").select(F.col("l_orderkey").alias("orderkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("partkey"), "nth")
+
+
+@query(f"WITH {_PAIRS}, c AS (SELECT a, b, hops, row_number() OVER (PARTITION BY hops ORDER BY a, b) AS n FROM p) SELECT a AS source_id, b AS sink_id, hops FROM c WHERE n <= 50")
+def reach_capped(spark, d):
+    """At most 50 findings of each category (here: path length)."""
+    paths, _ = _event_paths(spark, d)
+    rows = paths.select(F.substring("source", 2, 20).cast("bigint").alias("source_id"), F.substring("sink", 2, 20).cast("bigint").alias("sink_id"), "hops")
+    return N.capped(rows, "hops", ["source_id", "sink_id"], 50)
+
+
+@query(f"WITH {_PAIRS} SELECT hops, count(*) - 50 AS truncated FROM p GROUP BY hops HAVING count(*) > 50")
+def truncated_by_category(spark, d):
+    """A2: how many a cap leaves out."""
+    return N.truncated(_event_paths(spark, d)[0].select("hops"), "hops", 50)
+
+
+# --- rules over pages and documents
+
+
+def page_rules(spark: SparkSession) -> DataFrame:
+    rows = [
+        ("sources", "tracking", "utm_source", 0), ("sources", "tracking", "track(", 1), ("sources", "query", "?page=", 2), ("sinks", "markup", "<script", 0), ("sinks", "markup", "<nav", 1),
+        ("sinks", "anchor", "<a href", 2), ("sinks", "meta", "<meta charset", 3), ("sink_excludes", "", r"<b>\w+%%%", 0), ("sanitizers", "escape", "&amp;", 0),
+    ]
+    return spark.createDataFrame(rows, "section string, category string, pattern string, ord int")
+
+
+def page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "pages").select(F.col("page_id"), F.format_string("p%d", "page_id").alias("node_id"), F.lit("assignment").alias("node_type"), F.col("html").alias("text"), "url")
+
+
+_RULES = "r(section, category, pattern, ord) AS (VALUES ('sources','tracking','utm_source',0),('sources','tracking','track(',1),('sources','query','?page=',2),('sinks','markup','<script',0),('sinks','markup','<nav',1),('sinks','anchor','<a href',2),('sinks','meta','<meta charset',3))"
+
+
+@query(f"WITH {_RULES} SELECT page_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM pages JOIN r ON section = 'sinks' AND contains(html, pattern) GROUP BY page_id")
+def rule_label_pages(spark, d):
+    """Substring theta-join with the rules, categories as a sorted set."""
+    n = page_nodes(spark, d)
+    c = L.categories(n, page_rules(spark), "sinks")
+    return n.join(c, "text").select("page_id", F.array_join("categories", ",").alias("categories"))
+
+
+@query(f"WITH {_RULES}, m AS (SELECT page_id, category, pattern, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, category, ord) AS n FROM pages JOIN r ON section = 'sinks' AND contains(html, pattern)) SELECT page_id, category, pattern FROM m WHERE n = 1")
+def label_longest(spark, d):
+    """The longest pattern wins."""
+    n = page_nodes(spark, d)
+    return n.join(L.longest(n, page_rules(spark), "sinks"), "text").select("page_id", "category", "pattern")
+
+
+@query("SELECT page_id FROM pages WHERE contains(html, '<script') AND NOT regexp_matches(html, '<b>[0-9A-Za-z_]+%%%')")
+def label_exclude(spark, d):
+    """Sinks without those that an exclusion is found in."""
+    n = page_nodes(spark, d).where(F.contains("text", F.lit("<script")))
+    return n.join(L.excluded(n, page_rules(spark)), "text", "left_anti").select("page_id")
+
+
+@query("SELECT page_id, CASE WHEN contains(html, 'utm_source') OR contains(html, 'track(') OR contains(html, '?page=') THEN 'source' WHEN (contains(html, '<script') OR contains(html, '<nav') OR contains(html, '<a href') OR contains(html, '<meta charset')) AND NOT regexp_matches(html, '<b>[0-9A-Za-z_]+%%%') THEN 'sink' ELSE 'none' END AS label FROM pages")
+def source_priority(spark, d):
+    """A node with a source label gets no sink label."""
+    n = L.label_nodes(page_nodes(spark, d), page_rules(spark))
+    return n.select("page_id", F.when(F.col("taint_source").isNotNull(), "source").when(F.col("taint_sink").isNotNull(), "sink").otherwise("none").alias("label"))
+
+
+@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_$])(the)([^A-Za-z0-9_$]|$)')")
+def word_boundary_docs(spark, d):
+    """P5: whole identifiers."""
+    return read(spark, d, "documents").where(L.identifier_in("text", F.lit("the"))).select("doc_id")
+
+
+@query("SELECT page_id FROM pages WHERE contains(html, '&amp;')")
+def sanitizer_match(spark, d):
+    """Sanitizers."""
+    n = page_nodes(spark, d)
+    return n.join(L.match_all(n, page_rules(spark), "sanitizers").select("text").distinct(), "text", "left_semi").select("page_id")
+
+
+@query("SELECT page_id FROM pages WHERE contains(url, 'ref=x') OR contains(html, 'ref=x') ORDER BY page_id LIMIT 200")
+def attribute_search(spark, d):
+    """P10: substring search in any attribute, at most 200 (the operator's limit)."""
+    n = page_nodes(spark, d).withColumn("node_id", F.format_string("p%012d", "page_id"))
+    return L.search_nodes(n, "ref=x", ["text", "url"]).select("page_id")
+
+
+# --- joins
+
+
+@query("""SELECT o_orderkey, count(*) AS events FROM orders JOIN events ON user_id = o_custkey % 150 AND datediff('day', o_orderdate, ts) BETWEEN -30 AND 30 GROUP BY o_orderkey""")
+def span_join(spark, d):
+    """Points in spans of the same key, joined by buckets."""
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
+    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), (day("o_orderdate") - 30).alias("s"), (day("o_orderdate") + 30).alias("e"))
+    e = read(spark, d, "events").select("event_id", "user_id", day("ts").alias("at"))
+    return M.in_span(e, o, ["user_id"], "at", "s", "e", 30).groupBy("o_orderkey").agg(F.count("*").alias("events"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_size, p_retailprice - p_size AS a, p_retailprice + p_size AS b, p_brand FROM part),
+j AS (SELECT l.p_partkey, s.p_partkey AS span_key, row_number() OVER (PARTITION BY l.p_partkey ORDER BY s.b - s.a, s.p_partkey) AS n FROM part l JOIN s ON s.p_brand = l.p_brand AND l.p_retailprice BETWEEN s.a AND s.b AND s.p_partkey <> l.p_partkey)
+SELECT p_partkey, span_key FROM j WHERE n = 1""")
+def smallest_span(spark, d):
+    """The narrowest span that holds a point."""
+    p = read(spark, d, "part")
+    spans = p.select(F.col("p_partkey").alias("span_key"), "p_brand", (F.col("p_retailprice") - F.col("p_size")).alias("a"), (F.col("p_retailprice") + F.col("p_size")).alias("b"))
+    rows = M.in_span(p.select("p_partkey", "p_brand", "p_retailprice"), spans, ["p_brand"], "p_retailprice", "a", "b", 50).where("span_key <> p_partkey")
+    return M.first_by(rows, ["p_partkey"], [F.col("b") - F.col("a"), "span_key"]).select("p_partkey", "span_key")
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT AS cn FROM customer), s AS (SELECT s_suppkey, s_nationkey, regexp_extract(s_name, '([0-9]+)$', 1)::BIGINT AS sn FROM supplier),
+a AS (SELECT c_custkey, s_suppkey FROM c JOIN s ON cn = sn), b AS (SELECT c_custkey, s_suppkey FROM c JOIN s ON c_nationkey = s_nationkey WHERE c_custkey NOT IN (SELECT c_custkey FROM a) AND s_suppkey % 7 = c_custkey % 7),
+x AS (SELECT c_custkey, s_suppkey FROM c JOIN s ON s_suppkey % 20 = c_custkey % 20 WHERE c_custkey NOT IN (SELECT c_custkey FROM a) AND c_custkey NOT IN (SELECT c_custkey FROM b))
+SELECT *, 'high' AS tier FROM a UNION ALL SELECT *, 'medium' FROM b UNION ALL SELECT *, 'low' FROM x""")
+def three_tier_match(spark, d):
+    """By name, else by position, else loosely."""
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("bigint")
+    c = read(spark, d, "customer").select("c_custkey", "c_nationkey", number("c_name").alias("cn"))
+    s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", number("s_name").alias("sn"))
+    on = [("high", F.col("cn") == F.col("sn")), ("medium", (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("s_suppkey") % 7 == F.col("c_custkey") % 7)), ("low", F.col("s_suppkey") % 20 == F.col("c_custkey") % 20)]
+    return M.tiers(c, s, ["c_custkey"], on, [F.col("s_suppkey")])
+
+
+@query("""WITH j AS (SELECT l.doc_id, b.doc_id AS linked, CASE WHEN b.doc_id = l.doc_id + 1 THEN 'exact' WHEN b.doc_id IS NOT NULL THEN 'file' ELSE 'none' END AS match,
+row_number() OVER (PARTITION BY l.doc_id ORDER BY CASE WHEN b.doc_id = l.doc_id + 1 THEN 0 WHEN b.doc_id IS NOT NULL THEN 1 END NULLS LAST, b.doc_id) AS n
+FROM labels l JOIN documents a ON a.doc_id = l.doc_id LEFT JOIN documents b ON b.source = a.source AND b.lang = a.lang AND b.doc_id > a.doc_id) SELECT doc_id, linked, match FROM j WHERE n = 1""")
+def tiered_link(spark, d):
+    """Exact match, else the first of the same file, else none."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang")
+    left = read(spark, d, "labels").select("doc_id").join(docs, "doc_id")
+    right = docs.select(F.col("doc_id").alias("linked"), F.col("source").alias("_s"), F.col("lang").alias("_l"))
+    exact = F.col("linked") == F.col("doc_id") + 1
+    rank = F.when(exact, 0).when(F.col("linked").isNotNull(), 1)
+    rows = M.best_tier(left, right, (F.col("_s") == F.col("source")) & (F.col("_l") == F.col("lang")) & (F.col("linked") > F.col("doc_id")), ["doc_id"], rank, ["linked"])
+    return rows.select("doc_id", "linked", F.when(exact, "exact").when(F.col("linked").isNotNull(), "file").otherwise("none").alias("match"))
+
+
+@query("""SELECT e.event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_type = 'purchase' AND f.user_id = e.user_id AND f.ts::DATE = e.ts::DATE)""")
+def alias_suppress(spark, d):
+    """Pattern findings that a taint finding of the same place and aliased category covers are left out."""
+    e = read(spark, d, "events").withColumn("day", F.col("ts").cast("date"))
+    pattern = e.where("event_type = 'error'").withColumn("category", F.lit("weak_crypto"))
+    taint = e.where("event_type = 'purchase'").withColumn("category", F.lit("crypto_weakness"))
+    return N.suppress_aliases(pattern, taint, ["user_id", "day"]).select("event_id")
+
+
+@query("""SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey = s_suppkey AND o_orderpriority LIKE '1%' AND l_quantity > 49)""")
+def exposed_no_source(spark, d):
+    """Endpoints for which no labelled source exists (anti-join)."""
+    urgent = read(spark, d, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("l_orderkey"))
+    held = read(spark, d, "lineitem").where("l_quantity > 49").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(urgent, "l_orderkey", "left_semi")
+    return read(spark, d, "supplier").join(held, "s_suppkey", "left_anti").select("s_suppkey", "s_name")
+
+
+@query("""SELECT w.event_id AS write_id, r.event_id AS read_id FROM events w JOIN events r ON w.user_id = r.user_id AND w.event_id <> r.event_id AND (w.value < 1 OR r.value < 1 OR floor(w.value) = floor(r.value)) WHERE w.event_type = 'signup' AND r.event_type = 'view'""")
+def state_bridge(spark, d):
+    """Write to read by key, where a null scope matches any."""
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.when(F.col("value") >= 1, F.floor("value")).alias("scope"))
+    w = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("write_id"), F.col("scope").alias("ws"))
+    r = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("read_id"), F.col("scope").alias("rs"))
+    return w.join(r, "user_id").where("write_id <> read_id and (ws is null or rs is null or ws = rs)").select("write_id", "read_id")
+
+
+@query("""SELECT l_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS first_part FROM lineitem GROUP BY l_orderkey""")
+def first_assignment(spark, d):
+    """The earliest of each group."""
+    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("first_part"))
+
+
+# --- shaping
+
+
+@query("""WITH c(category, sev) AS (VALUES ('sql_injection', 3), ('xss', 1), ('ssrf', 2)), d AS (SELECT doc_id, 'sql_injection' AS category, 3 AS sev, length('the') AS n FROM documents WHERE contains(text, 'the') UNION ALL SELECT doc_id, 'xss', 1, 2 FROM documents WHERE contains(text, 'en') UNION ALL SELECT doc_id, 'ssrf', 2, 4 FROM documents WHERE contains(text, 'tion')),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sev DESC, n DESC, category) AS k FROM d)
+SELECT doc_id, max(CASE WHEN k = 1 THEN category END) AS main, coalesce(string_agg(CASE WHEN k > 1 THEN category END, ',' ORDER BY category), '') AS related FROM r GROUP BY doc_id""")
+def merge_categories(spark, d):
+    """A3: one finding for a place; the severest category leads, the others are related."""
+    rules = spark.createDataFrame([("sinks", "sql_injection", "the", 0), ("sinks", "xss", "en", 1), ("sinks", "ssrf", "tion", 2)], "section string, category string, pattern string, ord int")
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    hits = docs.join(L.match_all(docs, rules, "sinks"), "text").withColumn("pattern_length", F.length("pattern"))
+    return N.merge_categories(hits, ["doc_id"]).select("doc_id", "main", F.array_join("related", ",").alias("related"))
+
+
+@query("""WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, turn, role FROM l WHERE b IS DISTINCT FROM role""")
+def chain_fold(spark, d):
+    """Successive steps of the same function fold."""
+    return M.folded(read(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
+
+
+@query("""SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS previous_use FROM events""")
+def use_chain(spark, d):
+    """Each use is chained to the one before."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
+    return read(spark, d, "events").select("event_id", F.lag("event_id").over(w).alias("previous_use"))
+
+
+@query(r"""SELECT page_id, regexp_extract_all(html, '([A-Za-z_$][0-9A-Za-z_$]*)\s*\(', 1)[-1] AS last_call FROM pages""")
+def last_call_name(spark, d):
+    """The last call of a chain."""
+    return read(spark, d, "pages").select("page_id", L.last_call("html").alias("last_call"))
+
+
+@query("""SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS route, '/api/' || ltrim(regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1), '/') AS merged FROM pages""")
+def route_merge(spark, d):
+    """Route merging."""
+    p = read(spark, d, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("route"))
+    return p.withColumn("merged", T.merge_route(F.lit("/api/"), "route"))
+
+
+@query(r"""WITH r AS (SELECT page_id, '/{' || regexp_replace(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1), '\.', '}/{', 'g') || '}' AS route FROM pages) SELECT page_id, array_to_string(regexp_extract_all(route, '\{([0-9A-Za-z_]+)\}', 1), ',') AS params FROM r""")
+def route_params(spark, d):
+    """Parameters of a route."""
+    r = read(spark, d, "pages").select("page_id", F.concat(F.lit("/{"), F.regexp_replace(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1), r"\.", "}/{"), F.lit("}")).alias("route"))
+    return r.select("page_id", F.array_join(T.path_params("route", "fastapi"), ",").alias("params"))
+
+
+@query("""SELECT doc_id, quality, toxic, 'a' AS side FROM (SELECT * FROM labels WHERE quality = 1 EXCEPT ALL SELECT * FROM labels WHERE toxic = 1) UNION ALL SELECT doc_id, quality, toxic, 'b' FROM (SELECT * FROM labels WHERE toxic = 1 EXCEPT ALL SELECT * FROM labels WHERE quality = 1)""")
+def fingerprint_diff(spark, d):
+    """Symmetric difference of two reports."""
+    x = read(spark, d, "labels")
+    return M.symmetric_difference(x.where("quality = 1"), x.where("toxic = 1"))
+
+
+@query("""WITH j AS (SELECT lang, quality = 1 AS t, contains(text, '%%%') = false AND contains(text, '!!') = false AS f FROM labels JOIN documents USING (doc_id)),
+c AS (SELECT CASE WHEN grouping(lang) = 1 THEN 'total' ELSE lang END AS lang, count(*) FILTER (t AND f) AS tp, count(*) FILTER (t AND NOT f) AS fn, count(*) FILTER (NOT t AND f) AS fp, count(*) FILTER (NOT t AND NOT f) AS tn FROM j GROUP BY ROLLUP (lang))
+SELECT *, CASE WHEN tp + fn = 0 THEN 0.0 ELSE round(tp * 100.0 / (tp + fn), 1) END::DOUBLE AS tpr, CASE WHEN fp + tn = 0 THEN 0.0 ELSE round(fp * 100.0 / (fp + tn), 1) END::DOUBLE AS fpr FROM c""")
+def confusion_matrix(spark, d):
+    """Expected results against found ones, with a total."""
+    j = read(spark, d, "labels").join(read(spark, d, "documents").select("doc_id", "lang", "text"), "doc_id")
+    j = j.select("lang", (F.col("quality") == 1).alias("t"), (~F.contains("text", F.lit("%%%")) & ~F.contains("text", F.lit("!!"))).alias("f"))
+    out = D.confusion(j, "lang", "t", "f")
+    return out.withColumn("tpr", F.col("tpr").cast("double")).withColumn("fpr", F.col("fpr").cast("double"))
+
+
+@query("""SELECT source, count(*) AS docs, count(*) FILTER (contains(text, 'the')) AS hits, CASE WHEN count(*) = 0 THEN 0 ELSE round(count(*) FILTER (contains(text, 'the')) / count(*), 3) END AS ratio FROM documents GROUP BY source""")
+def coverage_ratio(spark, d):
+    """A5: coverage to three places."""
+    x = read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.contains("text", F.lit("the"))).alias("hits"))
+    return x.withColumn("ratio", M.ratio(F.col("hits"), F.col("docs")))
+
+
+_SCORE = "least(100, (CASE WHEN {any} THEN 20 ELSE 0 END) + least(30, 8 * ({words})) + (CASE {modules} ELSE 0 END))".format(
+    any=" OR ".join("contains(html, '%s')" % m.replace("'", "''") for m in D.JOINED),
+    words=" + ".join("contains(lower(html), '%s')::INT" % k for k in D.KEYWORDS),
+    modules=" ".join("WHEN contains(html, '%s') THEN %d" % m for m in D.MODULES),
+)
+
+
+@query(f"SELECT page_id, ({_SCORE})::INT AS score FROM pages")
+def heuristic_score(spark, d):
+    """Heuristic score of code text."""
+    return read(spark, d, "pages").select("page_id", D.heuristic_score("html").cast("int").alias("score"))
+
+
+_BLOCKS = "o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), b AS (SELECT user_id, rn FROM o WHERE rn <= 12), e AS (SELECT a.user_id, a.rn AS s, c.rn AS t FROM b a JOIN b c ON a.user_id = c.user_id AND (c.rn = a.rn + 1 AND a.rn % 4 <> 2 OR c.rn = a.rn + 2 AND a.rn % 4 IN (1, 2) OR c.rn = a.rn - 3 AND a.rn % 4 = 0))"
+
+
+def _user_blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A control-flow graph for each user over the first 12 events: a branch at 1, 5, 9, a jump at 2, 6, 10, loops at 4, 8, 12."""
+    o = read(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("rn <= 12").select(F.col("user_id").cast("string").alias("fn"), "rn")
+    name = F.format_string("b%02d", "rn")
+    blocks = o.select("fn", name.alias("block_id"), F.when(F.col("rn") == 1, "entry").otherwise("normal").alias("block_type"))
+    to = o.select("fn", F.col("rn").alias("t"), name.alias("dst"))
+    on = "t = rn + 1 and rn % 4 <> 2 or t = rn + 2 and rn % 4 in (1, 2) or t = rn - 3 and rn % 4 = 0"
+    return blocks, o.withColumn("src", name).join(to, "fn").where(on).select("fn", "src", "dst")
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS}, x AS (SELECT user_id, rn AS removed FROM b UNION ALL SELECT DISTINCT user_id, 0 FROM b),
+r AS (SELECT user_id, removed, 1 AS rn FROM x WHERE removed <> 1 UNION SELECT r.user_id, r.removed, e.t FROM r JOIN e ON e.user_id = r.user_id AND e.s = r.rn AND e.t <> r.removed)
+SELECT u.user_id::VARCHAR AS fn, printf('b%02d', x.removed::BIGINT) AS a, printf('b%02d', u.rn::BIGINT) AS b FROM (SELECT user_id, rn FROM r WHERE removed = 0) u JOIN x ON x.user_id = u.user_id AND x.removed > 0
+WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = u.user_id AND r.removed = x.removed AND r.rn = u.rn)""")
+def dominators(spark, d):
+    """A dominates b if b can't be reached without a."""
+    blocks, edges = _user_blocks(spark, d)
+    return dominance(blocks, edges).where("relation = 'dom'").select("fn", "a", "b")
+
+
+@query(None)
+def control_dependence(spark, d):
+    """Post-dominators, trees and control dependence (tested against brute force)."""
+    blocks, edges = _user_blocks(spark, d)
+    return dominance(blocks, edges).where("relation <> 'dom'")
+
+
+@query(f"""WITH RECURSIVE {_BLOCKS}, r AS (SELECT user_id, 1 AS rn FROM b WHERE rn = 1 UNION SELECT r.user_id, e.t FROM r JOIN e ON e.user_id = r.user_id AND e.s = r.rn) SELECT user_id::VARCHAR AS fn, count(*) AS blocks FROM r GROUP BY user_id""")
+def reachable_blocks(spark, d):
+    """Blocks that control can reach, the entry included."""
+    blocks, edges = _user_blocks(spark, d)
+    key = lambda c: F.concat_ws(":", "fn", c)
+    found = G.reachable_blocks(blocks.where("block_type = 'entry'").select(key("block_id").alias("node_id")), edges.select(key("src").alias("src"), key("dst").alias("dst")))
+    return found.groupBy(F.substring_index("node_id", ":", 1).alias("fn")).agg(F.count("*").alias("blocks"))
+
+
+@query("""WITH a(section, category, pattern, src, ord) AS (SELECT 'sinks', p_type, p_brand, 0, min(p_partkey) FROM part WHERE p_size < 25 GROUP BY ALL UNION ALL SELECT 'sinks', p_type, p_brand, 1, min(p_partkey) FROM part WHERE p_size > 20 GROUP BY ALL),
+d AS (SELECT *, row_number() OVER (PARTITION BY section, category, pattern ORDER BY src, ord) AS n FROM a)
+SELECT section, category, pattern, row_number() OVER (PARTITION BY section, category ORDER BY src, ord, pattern)::INT AS place FROM d WHERE n = 1""")
+def rules_merge(spark, d):
+    """Rule files append, earlier ones first, each pattern once."""
+    from flowspar.sources.rules import merge_rules
+
+    p = read(spark, d, "part")
+    part = lambda cond, src: p.where(cond).groupBy(F.lit("sinks").alias("section"), F.col("p_type").alias("category"), F.col("p_brand").alias("pattern")).agg(F.min("p_partkey").alias("ord")).withColumn("src", F.lit(src))
+    return merge_rules(part("p_size < 25", 0).unionByName(part("p_size > 20", 1))).select("section", "category", "pattern", "place")
+
+
+@query("""SELECT c_mktsegment, sha256(string_agg(c_name, chr(10) ORDER BY c_name)) AS fingerprint FROM customer GROUP BY c_mktsegment""")
+def content_fingerprint(spark, d):
+    """A digest of sorted entries."""
+    from flowspar.sources.rules import fingerprint
+
+    return fingerprint(read(spark, d, "customer"), ["c_mktsegment"], "c_name")
+
+
+@query("""SELECT l_orderkey, l_partkey, l_suppkey, max(l_quantity) AS l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC) AS n FROM lineitem) WHERE n = 1 GROUP BY ALL""")
+def last_wins(spark, d):
+    """Nodes with the same id merge; the last one's attributes stay."""
+    li = read(spark, d, "lineitem")
+    return li.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.max_by("l_quantity", F.struct("l_shipdate", "l_linenumber", "l_quantity")).alias("l_quantity"))
+
+
+@query("""SELECT lang, count(*) AS docs FROM documents GROUP BY lang ORDER BY docs DESC, lang LIMIT 1""")
+def dominant_language(spark, d):
+    """The most common language."""
+    return read(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(1)
+
+
+@query("""SELECT DISTINCT n_name FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900)""")
+def category_gap(spark, d):
+    """Known categories without active ones."""
+    active = read(spark, d, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey"))
+    return read(spark, d, "nation").join(active, "n_nationkey", "left_anti").select("n_name").distinct()
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) SELECT doc_id, n::INT AS line, trim(t, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM l WHERE n <= 3""")
+def source_lines(spark, d):
+    """Lines by number, stripped."""
+    from flowspar.sources.files import lines
+
+    return lines(read(spark, d, "documents"), "doc_id", "text").where("line <= 3")
