@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspar.llm import text as tx
+from flowspar.llm.shared import small_batches
 
 WORDS, LEAST_WORDS, PATTERNS_A_PASS = 13, 5, 1_000_000
 _BITS, _BLOCK, _LANE = 20, 8, 1024
@@ -133,6 +134,7 @@ def _hits(column: pa.Array, find: list[WuManber]) -> Iterator[tuple[int, bytes]]
 
 def _passes(benchmark: DataFrame, n: int, least: int) -> Iterator[dict[bytes, set]]:
     """The test strings, in passes of at most PATTERNS_A_PASS, so that what goes to the executors is bounded."""
+    small_batches(benchmark.sparkSession)
     held: dict[bytes, set] = defaultdict(set)
     for item in benchmark.select("item_id", "text").toLocalIterator():
         for p, ids in test_strings([tuple(item)], n, least).items():

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from flowspar.llm.shared import small_batches
+
 CONTINUED, FIRST, LAST = 1, 2, 4
 _HEAD = struct.Struct("<4sBBqIII B".replace(" ", ""))
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
@@ -168,6 +170,7 @@ def ogg_packets(df: DataFrame, media: str = "media", ids: tuple[str, ...] = ("do
 
     See ``packets`` for damaged pages. Null or empty media, and media that is no Ogg, have no rows; equal rows give equal
     results. Columns other than ids and media are ignored. Each row is worked on alone; nothing is shuffled."""
+    small_batches(df.sparkSession)
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in ids), "serial long, packet long, bytes long, start_time double, end_time double, packet_md5 string"])
     return df.select(*ids, media).mapInArrow(_demux(len(ids), rate), schema)

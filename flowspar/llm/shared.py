@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
+ARROW_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark send at most ARROW_BYTES at a time to Python workers (long texts make batches of 10,000 rows huge)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only where it is unset (local tests) is a
@@ -30,6 +37,7 @@ def shared_folder(spark: SparkSession) -> str:
 def table(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))

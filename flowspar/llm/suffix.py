@@ -27,7 +27,7 @@ from flowspar.llm import text as tx
 from flowspar.llm.shared import table
 
 LENGTH, RUN = 50, 5
-_PART, _BATCH = 1 << 19, 150_000
+_PART, _BATCH = 1 << 19, 60_000
 _NONE = (1 << 63) - 1
 
 
