@@ -3,9 +3,10 @@
 A *window* is ``length`` successive words (runs of non-white-space, compared as they stand). A window is repeated if it
 occurs more than once in all documents. The corpus is cut into pieces that can be sorted on their own:
 
-1. Each window is filed under its minimizer, the smallest hash among its runs of five words. Equal windows have equal
-   minimizers, so only minimizers that occur at least twice can hold repeats. Exact copies of a text collapse first.
-2. For those, the words around (just the windows filed under the minimizer) are gathered by minimizer, and each piece
+1. Each window has a minimizer, the smallest hash among its runs of five words, and is filed under the hash of all the
+   words that the windows with the minimizer in their first half (or in their second) have in common. Equal windows
+   are filed alike, so only keys that occur at least twice can hold repeats. Exact copies of a text collapse first.
+2. For those, the words around (just the windows filed there) are gathered by key; equal ones collapse. Each piece
    gets a suffix array by two-stage sorting: suffixes smaller than their successors are sorted directly (three words a
    round, ties only), all others are induced by one scan over the buckets. Adjacent suffixes with a common prefix of at
    least ``length`` words are repeats.
@@ -32,8 +33,9 @@ _NONE = (1 << 63) - 1
 
 
 def minimizers(hashes: np.ndarray, length: int = LENGTH, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window) of every stretch of windows with the same minimizer, in one text."""
+    """(key, first window, last window) of every stretch of windows that are filed under the same key, in one text."""
     out = []
+    half = (length - run) // 2
     for begin in range(0, max(len(hashes) - length + 1, 0), _PART):
         part = hashes[begin : begin + _PART + length - 1]
         g = tx.grams(part, run)
@@ -44,7 +46,16 @@ def minimizers(hashes: np.ndarray, length: int = LENGTH, run: int = RUN) -> tupl
             low, have = np.minimum(low[:-step], low[step:]), have + step
         cut = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
         last = np.concatenate([cut[1:], [len(low)]]) - 1
-        out.append((g[(low[cut] & np.uint64((1 << 20) - 1)).astype(np.int64)], cut + begin, last + begin))
+        at = (low[cut] & np.uint64((1 << 20) - 1)).astype(np.int64)
+        up, down = tx.powers(len(part) + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(part * up[: len(part)])])
+        common = lambda a, b: tx.mix((sums[b] - sums[a]) * down[a])  # noqa: E731, B023
+        late = cut < at - half  # windows that begin so early have the minimizer in their second half
+        early = last >= at - half
+        p = at[early]
+        out.append((common(p, p + length - half), np.maximum(cut[early], p - half) + begin, last[early] + begin))
+        p = at[late]
+        out.append((~common(p - half - 1, p + run), cut[late] + begin, np.minimum(last[late], p - half - 1) + begin))
     if not out:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none
@@ -104,8 +115,12 @@ def two_stage(ranks: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     each suffix found the one that starts a word earlier, if that is larger than its successor."""
     n = len(ranks)
     pad = np.concatenate([ranks, np.zeros(depth + 3, ranks.dtype)]).astype(np.uint64)
-    three = pad[:-2] << np.uint64(42) | pad[1:-1] << np.uint64(21) | pad[2:]
-    step = np.sign(np.diff(np.concatenate([ranks, [0]]).astype(np.int64)))
+    if int(ranks.max()) < 1 << 21:
+        three = pad[:-2] << np.uint64(42) | pad[1:-1] << np.uint64(21) | pad[2:]
+    else:  # ranks of pairs keep three words in 64 bits
+        pair = np.unique(pad[:-2] << np.uint64(32) | pad[1:-1], return_inverse=True)[1].astype(np.uint64)
+        three = pair << np.uint64(32) | pad[2:]
+    step = np.sign(np.diff(np.concatenate([ranks, [0]]).astype(np.int64))).astype(np.int8)
     flat = np.flatnonzero(step)
     step = step[flat[np.searchsorted(flat, np.arange(n))]]  # equal neighbours go by the next change
     small = np.flatnonzero(step > 0)
@@ -139,18 +154,15 @@ def two_stage(ranks: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     c = ranks[order]
     of = np.bincount(c, minlength=len(count))
     sa[end[c] - of[c] + np.arange(len(c)) - (np.cumsum(of) - of)[c]] = order
-    sa = sa.tolist()
-    word = ranks.tolist()
-    large = (step < 0).tolist()
-    sa[head[word[n - 1]]] = n - 1
+    place, word, large = memoryview(sa), memoryview(ranks.astype(np.int64)), memoryview((step < 0).view(np.uint8))
+    place[head[word[n - 1]]] = n - 1
     head[word[n - 1]] += 1
     for i in range(n):
-        j = sa[i] - 1
+        j = place[i] - 1
         if j >= 0 and large[j]:
             w = word[j]
-            sa[head[w]] = j
+            place[head[w]] = j
             head[w] += 1
-    sa = np.array(sa, np.int64)
 
     alike = np.zeros(n, bool)
     live = np.arange(1, n)
@@ -161,8 +173,9 @@ def two_stage(ranks: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, alike
 
 
-def repeats(contexts: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, window in it, run) of every window that occurs at least twice; equal windows share a run."""
+def repeats(contexts: list[np.ndarray], length: int = LENGTH, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, window in it, run) of every window that occurs at least twice; equal windows share a run. times: how
+    often each context occurs (default: once)."""
     size = np.array([len(c) for c in contexts])
     begin = np.concatenate([[0], np.cumsum(size)])
     ranks = np.unique(np.concatenate(contexts), return_inverse=True)[1] + 1
@@ -172,7 +185,7 @@ def repeats(contexts: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarra
     run = np.cumsum(~alike)
     keep = inside[sa]
     sa, run = sa[keep], run[keep]
-    many = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
+    many = np.bincount(run, None if times is None else times[of[sa]])[run] > 1 if len(run) else np.zeros(0, bool)
     sa, run = sa[many], run[many]
     return of[sa], sa - begin[of[sa]], run
 
@@ -184,9 +197,22 @@ def _sort_pieces(length: int):
         order = rows.column("ord").to_numpy()
         lo = rows.column("lo").to_numpy()
         digest = rows.column("digest").to_pylist()
-        context, at, run = repeats([np.frombuffer(x, np.uint32) for x in rows.column("context").to_pylist()], length)
+        coded = rows.column("context").combine_chunks().dictionary_encode()
+        _, first, times = np.unique(coded.indices.to_numpy(), return_index=True, return_counts=True)
+        contexts = [np.frombuffer(x, np.uint32) for x in coded.dictionary.to_pylist()]
+        rest = np.ones(len(lo), bool)
+        rest[first] = False  # rows are in order: the first of equal ones comes first, and all its windows recur in the others
+        if rest.any():
+            size = np.array([len(x) for x in contexts])[coded.indices.to_numpy()[rest]]
+            others = np.flatnonzero(rest)
+            yield pa.record_batch(
+                [pa.array([digest[c] for c in others], pa.binary()), pa.array(lo[others].astype(np.int32)), pa.array((lo[others] + size).astype(np.int32)), pa.array(np.ones(len(others), bool))],
+                names=["digest", "start", "end", "again"],
+            )
+        context, at, run = repeats(contexts, length, times)
         if not len(context):
             return
+        context = first[context]
         place = lo[context] + at
         rank = np.unique(np.array(digest, dtype="S16").view("S16"), return_inverse=True)[1]
         by = np.lexsort((place, rank[context], order[context], run))
