@@ -46,13 +46,13 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, budget: float
     A null source is a source of its own; a source without a weight gets none and is left out. Null doc_ids hash like
     an empty string; rows with equal doc_ids get equal numbers if their sources do. Null or empty texts are
     documents like others. Columns of docs named copy or shuffle_key are replaced."""
-    cdfs = table(_inverses(rates(docs, weights, budget)), "cdf").withColumnRenamed("source", "_source")
-    size = cdfs.agg(F.sum(F.size("cdf") * 8 + 64)).first()[0] or 0
+    cdfs = table(_inverses(rates(docs, weights, budget)), "cdf").select(F.col("source").alias("_mix_source"), F.col("cdf").alias("_mix_cdf"))
+    size = cdfs.agg(F.sum(F.size("_mix_cdf") * 8 + 64)).first()[0] or 0
     keep = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    joined = docs.select(keep).join(F.broadcast(cdfs) if size <= BROADCAST_BYTES else cdfs, F.col("source").cast("string").eqNullSafe(F.col("_source")))
+    joined = docs.select(keep).join(F.broadcast(cdfs) if size <= BROADCAST_BYTES else cdfs, F.col("source").cast("string").eqNullSafe(F.col("_mix_source")))
     u = uniform(seed, "doc_id")
-    copies = joined.withColumn("_u", u).withColumn("_n", F.expr("size(filter(cdf, c -> c < _u))")).where("_n > 0")
-    rows = copies.select(*keep, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    copies = joined.withColumn("_mix_u", u).withColumn("_mix_n", F.expr("size(filter(_mix_cdf, c -> c < _mix_u))")).where("_mix_n > 0")
+    rows = copies.select(*keep, F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("copy"))
     rows = rows.withColumn("shuffle_key", uniform(seed + "-order", "doc_id", "copy"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")

@@ -248,7 +248,7 @@ def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     named = docs.where(f"not ({blank})")
     rows = _members(sketch(named), **how)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    keep = rows.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.digest").alias("_digest"), F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 63))).alias("_key"))
-    keyed = named.withColumn("_digest", F.unhex(F.md5("text"))).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    kept = keyed.join(keep, ["_digest", "_key"]).dropDuplicates(["_digest", "_key"]).drop("_digest", "_key")
+    keep = rows.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.digest").alias("_near_digest"), F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 63))).alias("_near_key"))
+    keyed = named.withColumn("_near_digest", F.unhex(F.md5("text"))).withColumn("_near_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
+    kept = keyed.join(keep, ["_near_digest", "_near_key"]).dropDuplicates(["_near_digest", "_near_key"]).drop("_near_digest", "_near_key")
     return kept.select(docs.columns).unionByName(docs.where(blank))

@@ -363,9 +363,9 @@ def _cutter(at: int, spans_at: int, count_at: int | None):
 def drop_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with every run that ``repeated_spans`` reports as ``again`` cut out of its text; n_chars, where there is such
     a column, follows. A document of which nothing is left is dropped. Other documents and columns stay as they are."""
-    spans = _spans(docs, length).where("exists(spans, x -> x.again)").select(F.col("digest").alias("_digest"), F.col("key").alias("_key"), F.col("spans").alias("_spans"))
-    keyed = docs.withColumn("_digest", F.unhex(F.md5("text"))).withColumn("_key", _key())
-    rows = keyed.join(spans, ["_digest", "_key"], "left").select(*docs.columns, "_spans")
+    spans = _spans(docs, length).where("exists(spans, x -> x.again)").select(F.col("digest").alias("_suffix_digest"), F.col("key").alias("_suffix_key"), F.col("spans").alias("_suffix_spans"))
+    keyed = docs.withColumn("_suffix_digest", F.unhex(F.md5("text"))).withColumn("_suffix_key", _key())
+    rows = keyed.join(spans, ["_suffix_digest", "_suffix_key"], "left").select(*docs.columns, "_suffix_spans")
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     return rows.mapInArrow(_cutter(docs.columns.index("text"), len(docs.columns), count), docs.schema)
 
