@@ -22,7 +22,8 @@ def adjacency(edges: DataFrame, types: tuple[str, ...] = (DATA_FLOW, CALLS)) ->
 def _levels(starts: DataFrame, adj: DataFrame, sinks: DataFrame, max_nodes: int, stop_at_sinks: bool) -> list[DataFrame]:
     """starts(source, node, rank). Level tables (source, node, rank, path, etypes, fresh, sink, parent_rank, pos); fresh
     rows are those that enter the queue, the others are sinks that were seen before."""
-    marks = sinks.select(F.col("node_id").alias("node"), F.lit(True).alias("sink")).distinct()
+    marks = durable(sinks.select(F.col("node_id").alias("node"), F.lit(True).alias("sink")).distinct(), "sinks")
+    adj = durable(adj, "adjacency")  # every level reads them; their own plans run once
     first = starts.join(marks, "node", "left").select(
         "source", "node", "rank", F.array("node").alias("path"), F.array().cast("array<string>").alias("etypes"), F.lit(True).alias("fresh"),
         F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(-1).cast("bigint").alias("parent_rank"), F.lit(-1).cast("bigint").alias("pos"),
@@ -89,7 +90,8 @@ def find_path(sources: DataFrame, sinks: DataFrame, edges: DataFrame, max_depth:
 
 def trace(starts: DataFrame, edges: DataFrame, depth: int = 15, backward: bool = False, types: tuple[str, ...] = (DATA_FLOW, CALLS)) -> DataFrame:
     """(node_id, depth): all nodes within ``depth`` edges of starts(node_id), forward or backward, with their least depth."""
-    adj = adjacency(edges, types).select("src", "dst") if not backward else adjacency(edges, types).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    held = adjacency(edges, types)
+    adj = durable(held.select("src", "dst") if not backward else held.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "adjacency")
     last = durable(starts.select("node_id", F.lit(0).alias("depth")).distinct(), "trace")
     found = last
     for d in range(1, depth + 1):

@@ -15,6 +15,7 @@ from flowspar.operators import label as L
 from flowspar.operators import match as M
 from flowspar.operators import search as G
 from flowspar.operators.dominance import dominance
+from flowspar.sources.durable import durable
 from flowspar.sources.tables import read
 
 _QUERIES: dict = {}
@@ -62,7 +63,7 @@ def event_rules(spark: SparkSession) -> DataFrame:
 
 
 def _event_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = L.label_nodes(event_nodes(spark, d), event_rules(spark))
+    nodes = durable(L.label_nodes(event_nodes(spark, d), event_rules(spark)), "labelled")  # searches filter it by label
     return G.taint_paths(nodes.where("taint_source is not null"), nodes.where("taint_sink is not null"), event_edges(event_nodes(spark, d)), 20, 5), nodes
 
 
@@ -388,12 +389,12 @@ def heuristic_score(spark, d):
     return read(spark, d, "pages").select("page_id", D.heuristic_score("html").cast("int").alias("score"))
 
 
-_BLOCKS = "o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), b AS (SELECT user_id, rn FROM o WHERE rn <= 12), e AS (SELECT a.user_id, a.rn AS s, c.rn AS t FROM b a JOIN b c ON a.user_id = c.user_id AND (c.rn = a.rn + 1 AND a.rn % 4 <> 2 OR c.rn = a.rn + 2 AND a.rn % 4 IN (1, 2) OR c.rn = a.rn - 3 AND a.rn % 4 = 0))"
+_BLOCKS = "o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events), b AS (SELECT user_id, rn FROM o), e AS (SELECT a.user_id, a.rn AS s, c.rn AS t FROM b a JOIN b c ON a.user_id = c.user_id AND (c.rn = a.rn + 1 AND a.rn % 4 <> 2 OR c.rn = a.rn + 2 AND a.rn % 4 IN (1, 2) OR c.rn = a.rn - 3 AND a.rn % 4 = 0))"
 
 
 def _user_blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A control-flow graph for each user over the first 12 events: a branch at 1, 5, 9, a jump at 2, 6, 10, loops at 4, 8, 12."""
-    o = read(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("rn <= 12").select(F.col("user_id").cast("string").alias("fn"), "rn")
+    """A control-flow graph for each user over all events: of every four, a branch at the first, a jump at the second and a loop at the last."""
+    o = read(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select(F.col("user_id").cast("string").alias("fn"), "rn")
     name = F.format_string("b%02d", "rn")
     blocks = o.select("fn", name.alias("block_id"), F.when(F.col("rn") == 1, "entry").otherwise("normal").alias("block_type"))
     to = o.select("fn", F.col("rn").alias("t"), name.alias("dst"))
@@ -467,9 +468,9 @@ def category_gap(spark, d):
     return read(spark, d, "nation").join(active, "n_nationkey", "left_anti").select("n_name").distinct()
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) SELECT doc_id, n::INT AS line, trim(t, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM l WHERE n <= 3""")
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents) SELECT doc_id, n::INT AS line, trim(t, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM l""")
 def source_lines(spark, d):
     """Lines by number, stripped."""
     from flowspar.sources.files import lines
 
-    return lines(read(spark, d, "documents"), "doc_id", "text").where("line <= 3")
+    return lines(read(spark, d, "documents"), "doc_id", "text")
