@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def dominators(entry: str, succ: dict[str, list[str]]) -> dict[str, set[str]]:
@@ -86,4 +87,5 @@ def dominance(blocks: DataFrame, cfg_edges: DataFrame) -> DataFrame:
         found = analyse(b.block_id.tolist(), (entry.min() if len(entry) else b.block_id.min()), list(zip(e.src, e.dst)))
         return pd.DataFrame([(b.fn.iloc[0], *x) for x in found], columns=["fn", "relation", "a", "b"])
 
-    return blocks.groupBy("fn").cogroup(cfg_edges.groupBy("fn")).applyInPandas(run, "fn string, relation string, a string, b string")
+    own = cfg_edges.select(F.col("fn").alias("_f"), "src", "dst").withColumnRenamed("_f", "fn")  # both may come from one table
+    return blocks.groupBy("fn").cogroup(own.groupBy("fn")).applyInPandas(run, "fn string, relation string, a string, b string")
