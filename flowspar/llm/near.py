@@ -5,8 +5,9 @@
 2. Eight trees each order all nodes by their own 16 signature values (a tree's label). Nodes that agree on the first
    ``depth`` values of a label lie side by side. A region, a run with a longest common prefix of ``depth`` values, is
    split at the next value as long as it holds more than ``region`` nodes: the depth adapts to how dense the region is.
-3. Inside a region every pair is compared by the estimated Jaccard similarity of the signatures. A region that is
-   still larger when the label is used up is compared in full too, by way of its connected components.
+3. Inside a region every pair is compared by the estimated Jaccard similarity of the signatures. Then the forest is
+   ascended again: in a run that was split, every node is compared with all those of the run (down to ``depth``
+   values) that aren't in its group yet. So splitting only saves comparisons; it parts no pair.
 4. Verified pairs are closed to groups; each group keeps its row with the smallest doc_id.
 
 Signatures are compared by their low bytes (b-bit MinHash), with chance agreement taken out of the estimate.
@@ -81,7 +82,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated Jaccard similarity of rows of signature bytes."""
     chance = 1 / 256
-    return ((a == b).mean(axis=1) - chance) / (1 - chance)
+    eights = (a == b).view(np.uint64).sum(axis=1)  # of each eighth of the bytes how many are equal, in a byte
+    equal = eights * np.uint64(0x0101010101010101) >> np.uint64(56)
+    return (equal / VALUES - chance) / (1 - chance)
 
 
 def _join_labels(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -96,31 +99,24 @@ def _join_labels(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             return
 
 
-def _whole_leaf(rows: np.ndarray, sig: np.ndarray, parent: np.ndarray, least: float) -> None:
-    """All-pairs closure of a large leaf: each row goes to the first leader it resembles, then groups are
-    compared pair by pair as long as there is more than one."""
-    leaders: list[int] = []
-    member: dict[int, list[int]] = {}
-    for i in rows.tolist():
-        if leaders:
-            hit = np.flatnonzero(agreement(sig[leaders], sig[i][None, :]) >= least)
-            if len(hit):
-                lead = leaders[int(hit[0])]
-                member[lead].append(i)
-                _join_labels(parent, np.array([i]), np.array([lead]))
-                continue
-        leaders.append(i)
-        member[i] = [i]
-    for x in range(len(leaders)):
-        for y in range(x):
-            if parent[leaders[x]] == parent[leaders[y]]:
-                continue
-            other = np.array(member[leaders[y]])
-            for i in member[leaders[x]]:
-                hit = np.flatnonzero(agreement(sig[other], sig[i][None, :]) >= least)
-                if len(hit):
-                    _join_labels(parent, np.array([i]), other[hit[:1]])
-                    break
+def _ascend(first: int, end: int, sig: np.ndarray, parent: np.ndarray, least: float) -> None:
+    """All-pairs closure of the run from first to end, whose groups so far are in parent: each row is compared with the
+    later rows of other groups, and groups with a pair that matches become one."""
+    own = sig[first:end]
+    group = parent[first:end] - first
+    for i in range(len(own) - 1):
+        other = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+        if not len(other):
+            if (group == group[0]).all():
+                break
+            continue
+        hit = other[agreement(own[other], own[i]) >= least]
+        if len(hit):
+            into = np.arange(len(own))
+            joined = np.append(group[hit], group[i])
+            into[joined] = joined.min()
+            group = into[group]
+    parent[first:end] = group + first
 
 
 def forest_pairs(labels: np.ndarray, sig: np.ndarray, depth: int, region: int, least: float) -> np.ndarray:
@@ -132,6 +128,7 @@ def forest_pairs(labels: np.ndarray, sig: np.ndarray, depth: int, region: int, l
     same = labels[1:] == labels[:-1]
     lcp = np.concatenate([[-1], np.where(same.all(axis=1), labels.shape[1], same.argmin(axis=1))])
     cut = lcp < depth
+    runs = np.append(np.flatnonzero(cut), n)
     for level in range(depth + 1, labels.shape[1] + 1):
         run = np.cumsum(cut) - 1
         large = np.bincount(run)[run] > region
@@ -156,8 +153,8 @@ def forest_pairs(labels: np.ndarray, sig: np.ndarray, depth: int, region: int, l
         step += 1
     if left:
         _join_labels(parent, np.concatenate(left), np.concatenate(right))
-    for r in np.flatnonzero(size > region).tolist():
-        _whole_leaf(np.flatnonzero(run == r), sig, parent, least)
+    for r in np.flatnonzero(np.diff(runs) > region).tolist():
+        _ascend(int(runs[r]), int(runs[r + 1]), sig, parent, least)
     return parent
 
 

@@ -150,3 +150,36 @@ def test_signature_agreement_estimates_jaccard():
     for i in range(1, 4):
         exact = len(pairs[0] & pairs[i]) / len(pairs[0] | pairs[i])
         assert abs(near.agreement(low[:1], low[i : i + 1])[0] - exact) < 0.17
+
+
+def test_hot_region_parts_no_pair():
+    """1,500 copies that resemble their original at 0.63 to 0.73, and each other less: more than a region holds. Every run of
+    two values must be closed as by brute force. Measured: 0.955 of the copies find the original (0.555 before); the
+    signatures' estimate is below 0.6 for the other 0.04."""
+    rng = np.random.default_rng(5)
+    base = [f"t{i}" for i in range(300)]
+    texts, jaccard = [" ".join(base)], []
+    for k in range(1, 1501):
+        words = list(base)
+        for at in rng.choice(300, int(rng.integers(27, 34)), replace=False):
+            words[at] = f"edit{k}x{at}"
+        a, b = set(zip(base, base[1:])), set(zip(words, words[1:]))
+        jaccard.append(len(a & b) / len(a | b))
+        texts.append(" ".join(words))
+    assert min(jaccard) >= 0.6
+    sig, _ = near.signatures(*tx.strings(pa.array(texts)))
+    low = (sig & 0xFF).astype(np.uint8)
+    found = np.zeros(len(texts), bool)
+    for tree in range(near.TREES):
+        label = sig[:, tree * near.LEVELS : (tree + 1) * near.LEVELS]
+        order = np.lexsort(label.T[::-1])
+        parent = near.forest_pairs(label[order], low[order], near.DEPTH, near.REGION, near.SIMILARITY)
+        found[order] |= parent == parent[np.flatnonzero(order == 0)[0]]
+        own = np.flatnonzero((label[order, :2] == label[0, :2]).all(axis=1))  # the original's run
+        assert len(own) > near.REGION
+        a, b = np.triu_indices(len(own), 1)
+        hit = np.concatenate([near.agreement(low[order[own[a[k : k + 65536]]]], low[order[own[b[k : k + 65536]]]]) >= near.SIMILARITY for k in range(0, len(a), 65536)])
+        brute = np.arange(len(own))
+        near._join_labels(brute, a[hit], b[hit])
+        assert (parent[own] == own[brute]).all()
+    assert found[1:].mean() >= 0.94
