@@ -11,8 +11,9 @@ sample drawn by hash and those most like the positive ones. Landmarks are positi
 Newton method solves the squared-hinge SVM in the Nystroem space. As the kernel has explicit features, the machine
 folds into one weight for each letter triple, so scoring a word takes no landmark at all.
 
-A document's evidence is the log-likelihood ratio of its number of toxic words, as a Poisson number with the rate of
-toxic or of other documents; so a chance hit in a long text weighs less than one in a short text.
+A passage's evidence is the log-likelihood ratio of its number of toxic words, as a Poisson number with the rate of
+toxic or of other documents; a document's evidence is that of its best passage of successive words (a scan statistic).
+So clean words before, after or between never clear a document of what a part of it holds.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def solve_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0)
 
 class Machine:
     """The folded machine: a word's score is weighted(word, table) / norm(word) + bias, and it is toxic above ``limit``. A
-    document with h toxic words among n is toxic if h * gain - n * cost is above ``needed``."""
+    document is toxic if it has a passage, of h toxic words among n, for which h * gain - n * cost is above ``needed``."""
 
     def __init__(self, table_: np.ndarray, bias: float) -> None:
         self.table, self.bias, self.limit = table_, bias, 0.0
@@ -268,8 +269,11 @@ def fit(docs: DataFrame, labels: DataFrame, seed: str = "toxic") -> Machine | No
     machine = train(seeds, sorted({*plain, *hard}))
 
     machine.seeds = seeds
-    held = [tuple(r) for r in rows.where("not training").select("toxic", "text").mapInArrow(_counted(machine), "toxic int, words long, hits array<long>").collect()]
-    return machine if _calibrate(machine, held) else None
+    held = rows.where("not training").select("toxic", "text")
+    counts = [tuple(r) for r in held.mapInArrow(_counted(machine), "toxic int, words long, hits array<long>").collect()]
+    rates = _rates(counts)
+    best = [tuple(r) for r in held.mapInArrow(_judged(machine, rates), "toxic int, evidence array<double>").collect()]
+    return machine if _calibrate(machine, rates, best) else None
 
 
 def _counted(machine: Machine):
@@ -290,26 +294,70 @@ def _counted(machine: Machine):
     return scan
 
 
-def _calibrate(machine: Machine, held: list[tuple[int, int, list[int]]]) -> bool:
+def _rates(counts: list[tuple[int, int, list[int]]]) -> list[tuple[float, float] | None]:
+    """(gain, cost) for each of LIMITS, from (toxic, words, hits) of documents; None if the toxic ones have no more hits."""
+    y = np.array([c[0] for c in counts], int)
+    n = np.array([c[1] for c in counts], float)
+    hits = np.array([c[2] for c in counts], float).reshape(len(counts), len(LIMITS))
+    out: list[tuple[float, float] | None] = []
+    for i in range(len(LIMITS)):
+        high = (hits[y == 1, i].sum() + 0.5) / (n[y == 1].sum() + 1)
+        low = (hits[y == 0, i].sum() + 0.5) / (n[y == 0].sum() + 1)
+        out.append((float(np.log(high / low)), float(high - low)) if high > low else None)
+    return out
+
+
+def best_passages(a: np.ndarray, row: np.ndarray, hit: np.ndarray, rows: int, gain: float, cost: float) -> np.ndarray:
+    """For each row the largest h * gain - n * cost over its passages of n successive words with h hits, -inf without a
+    hit. a: where each word begins (in any order), row: its row, hit: whether it is a hit."""
+    out = np.full(rows, -np.inf)
+    if not hit.any():
+        return out
+    order = np.argsort(a, kind="stable")
+    place = np.flatnonzero(hit[order])
+    of = row[order][place]
+    cut = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    for r, at in zip(of[cut].tolist(), np.split(place, cut[1:])):
+        value = np.arange(len(at)) * gain - at * cost  # of the words before each hit; a best passage begins and ends with one
+        out[r] = (value - np.minimum.accumulate(value)).max() + gain - cost
+    return out
+
+
+def _judged(machine: Machine, rates: list[tuple[float, float] | None]):
+    """(toxic, text) -> (toxic, evidence of the best passage at each of LIMITS)."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = tx.strings(batch.column(1))
+            best = np.full((batch.num_rows, len(LIMITS)), -np.inf)
+            for first, end, part, off in tx.chunks(data, offsets):
+                codes, a, b, row = units(part, off)
+                value = machine.score(codes, a, b, LIMITS[0])
+                for i, (limit, rate) in enumerate(zip(LIMITS, rates)):
+                    if rate:
+                        best[first:end, i] = best_passages(a, row, value > limit, end - first, *rate)
+            yield pa.record_batch([batch.column(0).cast(pa.int32()), pa.array(best.tolist(), pa.list_(pa.float64()))], names=["toxic", "evidence"])
+
+    return scan
+
+
+def _calibrate(machine: Machine, rates: list[tuple[float, float] | None], judged: list[tuple[int, list[float]]]) -> bool:
     """Sets limit, gain, cost and needed by documents that weren't trained on: of all limits the one that finds most
     toxic documents when at most FALSE_ALARMS of the others are taken for toxic (ties: the higher limit)."""
-    y = np.array([h[0] for h in held], int)
-    n = np.array([h[1] for h in held], float)
-    hits = np.array([h[2] for h in held], float).reshape(len(held), len(LIMITS))
+    y = np.array([j[0] for j in judged], int)
+    every = np.array([j[1] for j in judged], float).reshape(len(judged), len(LIMITS))
     best = -1
-    for i, limit in enumerate(LIMITS):
-        high = (hits[y == 1, i].sum() + 0.5) / (n[y == 1].sum() + 1)
-        low = (hits[y == 0, i].sum() + 0.5) / (n[y == 0].sum() + 1)
-        if high <= low:
+    for i, (limit, rate) in enumerate(zip(LIMITS, rates)):
+        if rate is None:
             continue
-        gain, cost = float(np.log(high / low)), float(high - low)
-        evidence = np.where(hits[:, i] > 0, hits[:, i] * gain - n * cost, -np.inf)
+        evidence = every[:, i]
         others = np.sort(evidence[y == 0])[::-1]
         allowed = int(FALSE_ALARMS * len(others))
         needed = max(0.0, float(np.log(max(len(others), 1) / max((y == 1).sum(), 1))), others[allowed] if allowed < len(others) else 0.0)
         found = int((evidence[y == 1] > needed).sum())
         if found >= best:
-            best, machine.limit, machine.gain, machine.cost, machine.needed = found, limit, gain, cost, needed
+            best, machine.limit, machine.needed = found, limit, needed
+            machine.gain, machine.cost = rate
     return best > 0
 
 
@@ -337,8 +385,7 @@ def _flags(machine: Machine, column: pa.Array, rows: int) -> np.ndarray:
             continue
         _, one, back = np.unique(tx.spans(tx.prefix(codes), a, b), return_index=True, return_inverse=True)
         hit = np.isfinite(machine.score(codes, a[one], b[one], machine.limit))[back]
-        hits, all_ = np.bincount(row[hit], minlength=end - first), np.bincount(row, minlength=end - first)
-        out[first:end] = np.where(hits > 0, hits * machine.gain - all_ * machine.cost - machine.needed, -np.inf)
+        out[first:end] = best_passages(a, row, hit, end - first, machine.gain, machine.cost) - machine.needed
     return out
 
 

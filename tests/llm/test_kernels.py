@@ -183,3 +183,25 @@ def test_hot_region_parts_no_pair():
         near._join_labels(brute, a[hit], b[hit])
         assert (parent[own] == own[brute]).all()
     assert found[1:].mean() >= 0.94
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.booleans()), max_size=40), st.floats(0.1, 5), st.floats(0.01, 2))
+def test_best_passages_by_brute_force(words, gain, cost):
+    row = np.array(sorted(r for r, _ in words), int)
+    hit = np.array([h for _, h in words], bool)
+    mixed = np.random.default_rng(len(words)).permutation(len(words))
+    got = toxicity.best_passages(np.arange(len(words))[mixed] * 3, row[mixed], hit[mixed], 5, gain, cost)
+    for r in range(5):
+        own = hit[row == r].tolist()
+        brute = max((sum(own[i:j]) * gain - (j - i) * cost for i in range(len(own)) for j in range(i + 1, len(own) + 1)), default=-np.inf)
+        assert got[r] == pytest.approx(brute) if any(own) else got[r] == -np.inf
+
+
+def test_clean_words_clear_no_document():
+    machine = toxicity.train(["idiot", "moron"], ["house", "garden", "people", "window"])
+    machine.limit, machine.gain, machine.cost, machine.needed = 0.5, 9.5, 0.017, 2.1  # about those of sf0.1
+    insults, clean = "you idiot and moron ", "the house in a garden has people at a window "
+    texts = [insults, insults + clean * 3000, clean * 1500 + insults + clean * 1500, clean * 3000]
+    got = toxicity._flags(machine, pa.array(texts), len(texts))
+    assert got[0] > 0 and np.allclose(got[:3], got[0]) and got[3] == -np.inf
