@@ -205,3 +205,21 @@ def test_clean_words_clear_no_document():
     texts = [insults, insults + clean * 3000, clean * 1500 + insults + clean * 1500, clean * 3000]
     got = toxicity._flags(machine, pa.array(texts), len(texts))
     assert got[0] > 0 and np.allclose(got[:3], got[0]) and got[3] == -np.inf
+
+
+def test_groups_that_meet_in_a_member_join_whole():
+    """A run of equal labels: two groups of 40 whose leaders don't resemble each other, joined by one pair of members."""
+    rng = np.random.default_rng(2)
+    chain = [rng.integers(0, 256, near.VALUES)]
+    for k in range(3):  # each resembles the next by 88 of 128 values, and no other
+        step = chain[-1].copy()
+        step[40 * k : 40 * k + 40] = rng.integers(0, 256, 40)
+        chain.append(step)
+    order = [0] * 39 + [3] * 39 + [1, 2]  # leaders first; 1 goes to 0, and 2 to 3
+    sig = np.array([chain[k] for k in order]).astype(np.uint8)
+    labels = np.zeros((80, near.LEVELS), np.uint16)
+    a, b = np.triu_indices(80, 1)
+    hit = near.agreement(sig[a], sig[b]) >= near.SIMILARITY
+    brute = np.arange(80)
+    near._join_labels(brute, a[hit], b[hit])
+    assert (near.forest_pairs(labels, sig, near.DEPTH, near.REGION, near.SIMILARITY) == brute).all()
