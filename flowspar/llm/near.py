@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspar.llm import text as tx
-from flowspar.llm.shared import components, table
+from flowspar.llm.shared import BLANK, components, numbered, table
 
 VALUES, TREES, LEVELS = 128, 8, 16
 SHINGLE, SIMILARITY, DEPTH, REGION = 2, 0.6, 2, 64
@@ -194,7 +194,7 @@ def _scan_trees(depth: int, region: int, least: float):
 
 def sketch(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, sig, shingles) of every document."""
-    return table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, digest binary, sig binary, shingles long"), "sketch")
+    return table(numbered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketch, "doc_id long, digest binary, sig binary, shingles long"), "sketch")
 
 
 def groups(sketches: DataFrame, similarity: float = SIMILARITY, depth: int = DEPTH, region: int = REGION) -> DataFrame:
@@ -230,9 +230,9 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 
     ``keeper_id`` is the smallest doc_id of the group (groups are closed: a row may resemble its keeper through
     others). Pairs with an estimated Jaccard similarity of word pairs of at least 0.6 are linked. Null, empty and
-    white-space texts are no copies of anything; texts of punctuation alone have exact copies only. Rows that are
+    white-space texts (blanks, tabs, line breaks) are no copies of anything; texts of punctuation alone have exact copies only. Rows that are
     equal in doc_id and text count as one document. A null doc_id sorts last. Other columns are ignored."""
-    rows = _members(sketch(docs.where("trim(text) <> ''")), **how)
+    rows = _members(sketch(docs.where(f"not ({BLANK})")), **how)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     best = rows.groupBy("root").agg(F.min(first).alias("first"), F.count("*").alias("n")).where("n > 1")
     return rows.join(best, "root").where("not (digest = first.digest and doc_id <=> first.doc_id)").select("doc_id", F.col("first.doc_id").alias("keeper_id"))
@@ -241,11 +241,10 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """docs without the documents that ``near_duplicates`` reports, and with one of rows that are equal in doc_id and
     text; all columns stay. Documents whose text is null or white space stay as they are."""
-    blank = "coalesce(trim(text), '') = ''"
-    named = docs.where(f"not ({blank})")
+    named = docs.where(f"not ({BLANK})")
     rows = _members(sketch(named), **how)
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
     keep = rows.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.digest").alias("_near_digest"), F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 63))).alias("_near_key"))
     keyed = named.withColumn("_near_digest", F.unhex(F.md5("text"))).withColumn("_near_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
     kept = keyed.join(keep, ["_near_digest", "_near_key"]).dropDuplicates(["_near_digest", "_near_key"]).drop("_near_digest", "_near_key")
-    return kept.select(docs.columns).unionByName(docs.where(blank))
+    return kept.select(docs.columns).unionByName(docs.where(BLANK))

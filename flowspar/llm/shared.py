@@ -19,6 +19,18 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+#: texts of nothing but white space (null counts as such)
+BLANK = r"coalesce(text, '') not rlike '\\S'"
+
+
+def numbered(docs: DataFrame, column: str = "doc_id") -> DataFrame:
+    """docs, after a check that its ids are integers: results carry them as such, so other types are refused at once."""
+    kind = dict(docs.dtypes)[column]
+    if kind not in ("bigint", "int", "smallint", "tinyint", "void"):
+        raise TypeError(f"{column} must be an integer column, not {kind}")
+    return docs
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share. Only where it is unset (local tests) is a
     temporary one made and set; a cluster without the setting is refused."""
@@ -44,6 +56,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, as a URI, for files that operators write themselves. It is deleted at the end
+    of the program, like the tables of ``table``."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    _written.append((spark, folder))
+    return folder
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by ``table`` that nothing lazy reads any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
