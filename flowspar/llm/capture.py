@@ -16,6 +16,7 @@ import bisect
 import gzip
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -25,9 +26,10 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspar.llm.shared import shared_folder, table
+from flowspar.llm.shared import numbered, scratch, table
 
 BLOCK = 3000
+DATE = "1970-01-01T00:00:00Z"  # the tables hold no time of capture
 
 
 def url_key(url: Column) -> Column:
@@ -45,9 +47,14 @@ def _open(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
 
-def warc_member(url: str, capture: int | None, payload: bytes) -> bytes:
-    """One WARC record as a gzip member (without a time stamp, so that equal records are equal bytes)."""
-    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:capture:{capture}>\r\nWARC-Target-URI: {url}\r\nContent-Length: {len(payload)}\r\n\r\n"
+def header_value(url: str) -> str:
+    """A URL as it may stand in a header: control characters and blanks percent-encoded."""
+    return re.sub(r"[\x00-\x20\x7f]", lambda c: f"%{ord(c.group()):02X}", url)
+
+
+def warc_member(url: str, record: str, payload: bytes, date: str = DATE) -> bytes:
+    """One WARC record as a gzip member (without a time stamp of its own, so that equal records are equal bytes)."""
+    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{record}>\r\nWARC-Date: {date}\r\nWARC-Target-URI: {header_value(url)}\r\nContent-Length: {len(payload)}\r\n\r\n"
     return gzip.compress(head.encode() + payload + b"\r\n\r\n", 6, mtime=0)
 
 
@@ -59,13 +66,14 @@ def _archive(folder: str, limit: int):
         for batch in batches:
             lines: list[list] = [[], [], []]
             for i in range(batch.num_rows):
-                capture, url, html = (batch.column(c)[i].as_py() for c in range(3))
-                member = warc_member(url or "", capture, (html or "").encode())
-                if out is None or at + len(member) > limit:
+                url, html = (batch.column(c)[i].as_py() for c in (1, 2))
+                if out is None or at >= limit:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
+                record = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{name}/{at}"))  # a place is used once
+                member = warc_member(url or "", record, (html or "").encode())
                 out.write(member)
                 for v, x in zip(lines, (name, at, len(member))):
                     v.append(x)
@@ -79,8 +87,8 @@ def _archive(folder: str, limit: int):
 
 def write_archive(pages: DataFrame, folder: str, limit: int = 256 << 20) -> DataFrame:
     """The index lines (capture_id, url_key, file, offset, length) of pages(page_id, url, html), now in WARC files of at
-    most ``limit`` bytes. Null html is an empty payload."""
-    rows = pages.select(F.col("page_id").cast("long").alias("capture_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), url_key(F.col("url")).alias("url_key"))
+    ``limit`` bytes and a record more. Null html is an empty payload."""
+    rows = numbered(pages, "page_id").select(F.col("page_id").cast("long").alias("capture_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), url_key(F.col("url")).alias("url_key"))
     return table(rows.mapInArrow(_archive(folder, limit), "capture_id long, url_key string, file string, offset long, length long"), "lines")
 
 
@@ -252,8 +260,7 @@ def capture_index(pages: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Pages with equal keys are captures of one another. A null URL has the key '' and is found under it; null html is
     an empty payload; repeated rows are captures of their own; an empty table gives no rows; other columns are ignored."""
-    folder = f"{shared_folder(pages.sparkSession)}/captures-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")
+    folder = scratch(pages.sparkSession, "captures")
     lines = write_archive(pages, folder)
     shards = write_index(lines, folder, block)
     found = read_captures(lookup(pages.select(url_key(F.col("url")).alias("url_key")), shards, folder), folder)
