@@ -17,7 +17,7 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float | Non
     if weights is None:
         held = sizes.withColumn("weight", F.lit(1.0))
     else:
-        given = weights.groupBy(F.col("source").alias("_source")).agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"))
+        given = weights.groupBy(F.col("source").cast("string").alias("_source")).agg(F.sum(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))).alias("weight"))
         held = sizes.join(given, F.col("source").eqNullSafe(F.col("_source")), "left").select("source", "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     held = table(held, "sizes")
     total, weight = held.agg(F.sum("n"), F.sum("weight")).first()
@@ -25,6 +25,15 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, budget: float | Non
     return held.select("source", (F.lit(goal) * F.col("weight") / (weight or 1.0) / F.col("n")).alias("rate"))
 
 
+def quality_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(source, weight): target weights by the labels of quality: of each source's labelled documents the good ones for
+    each bad one (with one bad one added, so that the weight is finite). A document labelled both ways is good; labels of
+    unknown documents, null ids and null labels don't count; a source without labels has no weight."""
+    per = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_good"))
+    of = docs.where("doc_id is not null").select("doc_id", F.col("source").cast("string").alias("source")).distinct().join(per, "doc_id")
+    return of.groupBy("source").agg((F.count_if(F.col("_good") == 1) / (F.count_if(F.col("_good") != 1) + 1)).alias("weight"))
+
+
 def _inverses(rate: DataFrame) -> DataFrame:
     """(source, cdf): the Poisson distribution function at 0, 1, ... to where it is 1 in double precision."""
     k = F.explode(F.sequence(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 24).cast("int"))).alias("k")
@@ -58,13 +67,16 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, budget: float
     return rows.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
-def sql(seed: str = "mix", columns: str = "d.doc_id, d.text, d.lang, d.source, d.n_chars", docs: str = "documents") -> str:
-    """The same result in DuckDB's SQL, for equal weights."""
+def sql(seed: str = "mix", columns: str = "d.doc_id, d.text, d.lang, d.source, d.n_chars", docs: str = "documents", labels: str = "labels") -> str:
+    """``poisson_mix(docs, quality_weights(docs, labels))`` in DuckDB's SQL."""
     u = "(('0x' || substr(md5('{0}'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496"
     return f"""
     WITH sizes AS (SELECT source, count(*) AS n FROM {docs} GROUP BY source),
-    rates AS (SELECT source, (SELECT sum(n) FROM sizes)::DOUBLE * 1.0 / (SELECT count(*) FROM sizes)::DOUBLE / n AS rate FROM sizes),
-    steps AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 24)::BIGINT + 1)) AS k FROM rates),
+    marked AS (SELECT doc_id, max(quality) AS good FROM {labels} WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+    weights AS (SELECT source, count(*) FILTER (good = 1)::DOUBLE / (count(*) FILTER (good <> 1) + 1) AS weight FROM (SELECT DISTINCT doc_id, source FROM {docs}) JOIN marked USING (doc_id) GROUP BY source),
+    held AS (SELECT sizes.source, n, coalesce(weight, 0) AS weight FROM sizes LEFT JOIN weights ON sizes.source IS NOT DISTINCT FROM weights.source),
+    rates AS (SELECT source, (SELECT sum(n) FROM held)::DOUBLE * weight / (SELECT sum(weight) FROM held) / n AS rate FROM held),
+    steps AS (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 24)::BIGINT + 1)) AS k FROM rates WHERE rate > 0),
     mass AS (SELECT source, k, exp(k * ln(rate) - rate - sum(ln(greatest(k, 1)::DOUBLE)) OVER (PARTITION BY source ORDER BY k)) AS mass FROM steps),
     cdf AS (SELECT source, k, sum(mass) OVER (PARTITION BY source ORDER BY k) AS below FROM mass),
     d AS (SELECT *, {u.format(f"{seed}|' || coalesce(doc_id::VARCHAR, '') || '")} AS u FROM {docs}),

@@ -23,7 +23,7 @@ def op3_capture_index(spark, sf_dir):
 
 
 def op4_reply_trees(spark, sf_dir):
-    return chat.reply_paths(chat.reply_parents(_table(spark, sf_dir, "conversations")))
+    return chat.reply_paths(chat.threaded(chat.reply_parents(_table(spark, sf_dir, "conversations"))))
 
 
 def op5_lattice_likelihood(spark, sf_dir):
@@ -31,7 +31,8 @@ def op5_lattice_likelihood(spark, sf_dir):
 
 
 def op6_poisson_source_mix(spark, sf_dir):
-    return mixing.poisson_mix(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.poisson_mix(docs, mixing.quality_weights(docs, _table(spark, sf_dir, "labels")))
 
 
 def op7_ogg_packets(spark, sf_dir):
