@@ -16,9 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flowspar.llm.shared import small_batches
+from flowspar.llm.shared import numbered, small_batches
 
 CONTINUED, FIRST, LAST = 1, 2, 4
+RATE, SEGMENTS = 16_000, 2  # of the files that stand in for media
 _HEAD = struct.Struct("<4sBBqIII B".replace(" ", ""))
 _FLIP = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
@@ -35,9 +36,10 @@ def page(serial: int, number: int, flags: int, granule: int, lacing: bytes, body
     return raw[:22] + crc(raw).to_bytes(4, "little") + raw[26:]
 
 
-def stream_pages(serial: int, packets: list[tuple[bytes, int]], each: bool = True) -> list[bytes]:
+def stream_pages(serial: int, packets: list[tuple[bytes, int]], each: bool = True, segments: int = 255) -> list[bytes]:
     """The pages of a logical stream of (packet, granule position at its end). each: a page ends with every packet;
-    otherwise pages are filled to 255 segments. A page on which no packet ends has granule position -1."""
+    otherwise pages are filled. A page holds at most
+    ``segments`` segments, and a longer packet goes on in the next. A page on which no packet ends has granule position -1."""
     pages: list[tuple[int, int, bytes, bytes]] = []
     lacing, body, flags, granule = bytearray(), bytearray(), 0, -1
 
@@ -50,9 +52,9 @@ def stream_pages(serial: int, packets: list[tuple[bytes, int]], each: bool = Tru
         values = b"\xff" * (len(data) // 255) + bytes([len(data) % 255])
         at = 0
         while values:
-            if len(lacing) == 255:
+            if len(lacing) == segments:
                 close(at > 0)
-            take = values[: 255 - len(lacing)]
+            take = values[: segments - len(lacing)]
             n = sum(take)
             lacing += take
             body += data[at : at + n]
@@ -84,6 +86,25 @@ class _Stream:
         self.granule = 0
 
 
+def sample_rate(head: bytes) -> int | None:
+    """Granule positions a second of a stream, by its first packet: Vorbis and Speex state their rate, FLAC states it in
+    its stream information, and Opus always counts 48,000. None where the packet is no such header."""
+    if head[:8] == b"OpusHead":
+        return 48_000
+    if head[:7] == b"\x01vorbis" and len(head) >= 16:
+        return int.from_bytes(head[12:16], "little") or None
+    if head[:8] == b"Speex   " and len(head) >= 40:
+        return int.from_bytes(head[36:40], "little") or None
+    if head[:5] == b"\x7fFLAC" and len(head) >= 30:
+        return int.from_bytes(head[27:30], "big") >> 4 or None
+    return None
+
+
+def vorbis_head(rate: int) -> bytes:
+    """A Vorbis identification header: version 0, one channel, the rate, no bit rates, blocks of 256 and 2048, framing."""
+    return b"\x01vorbis" + struct.pack("<IBIiiiBB", 0, 1, rate, 0, 0, 0, 0xB8, 1)
+
+
 def packets(media: bytes | None) -> Iterator[tuple[int, int, bytes, int, int]]:
     """(serial, packet number, packet, granule position at its start, at its end), in the order of their ends.
 
@@ -133,7 +154,7 @@ def packets(media: bytes | None) -> Iterator[tuple[int, int, bytes, int, int]]:
             s.granule = granule
 
 
-def _demux(ids: int, rate: int):
+def _demux(ids: int, default: int):
     names = ["serial", "packet", "bytes", "start_time", "end_time", "packet_md5"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()]
 
@@ -149,7 +170,11 @@ def _demux(ids: int, rate: int):
                 return pa.record_batch([*(batch.column(i).take(take) for i in range(ids)), *(pa.array(v, k) for v, k in zip(out, kinds))], names=[*batch.schema.names[:ids], *names])
 
             for i in range(batch.num_rows):
+                rates: dict[int, int] = {}
                 for serial, n, data, start, end in packets(media[i].as_py()):
+                    if n == 0 or serial not in rates:
+                        rates[serial] = sample_rate(data) or default
+                    rate = rates[serial]
                     rows.append(i)
                     for v, x in zip(out, (serial, n, len(data), start / rate, end / rate, hashlib.md5(data).hexdigest())):
                         v.append(x)
@@ -166,7 +191,8 @@ def _demux(ids: int, rate: int):
 
 def ogg_packets(df: DataFrame, media: str = "media", ids: tuple[str, ...] = ("doc_id",), rate: int = 8000) -> DataFrame:
     """One row for every whole packet of every logical stream in a binary column: the columns ``ids``, serial, packet
-    (numbered within the stream), bytes, start_time and end_time (granule positions / rate, seconds), packet_md5.
+    (numbered within the stream), bytes, start_time and end_time (granule positions / rate, seconds), packet_md5. The rate is
+    that of the stream's own header (see ``sample_rate``); ``rate`` is for streams without one.
 
     See ``packets`` for damaged pages. Null or empty media, and media that is no Ogg, have no rows; equal rows give equal
     results. Columns other than ids and media are ignored. Each row is worked on alone; nothing is shuffled."""
@@ -190,7 +216,7 @@ def _mux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 end += len(line)
                 lines.append((line, end))
             tags = [((batch.column(c)[i].as_py() or "").encode(), 0) for c in (2, 3)]
-            out.append(interleave([stream_pages(1, lines), stream_pages(2, tags, each=False)]))
+            out.append(interleave([stream_pages(1, [(vorbis_head(RATE), 0), *lines], segments=SEGMENTS), stream_pages(2, tags, each=False)]))
             held += len(out[-1])
             if held > 16 << 20:
                 yield pa.record_batch([doc.take(pa.array(ids)), pa.array(out, pa.binary())], names=["doc_id", "media"])
@@ -201,17 +227,19 @@ def _mux(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def documents_as_ogg(docs: DataFrame) -> DataFrame:
     """(doc_id, media): each document as an Ogg file of two streams, for want of a media column in the tables. Stream 1
-    has a packet for every line of the text, the granule position counting bytes; stream 2 has lang and source. A null
+    has a Vorbis header of RATE and a packet for every line of the text, the granule position counting bytes, on pages of
+    at most SEGMENTS segments, so that lines of 510 bytes and more go over several; stream 2 has lang and source. A null
     text is null media; a null lang or source is an empty packet."""
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text", "cast(lang as string) as lang", "cast(source as string) as source").mapInArrow(_mux, "doc_id long, media binary")
+    return numbered(docs).selectExpr("cast(doc_id as long) as doc_id", "text", "cast(lang as string) as lang", "cast(source as string) as source").mapInArrow(_mux, "doc_id long, media binary")
 
 
-def sql(docs: str = "documents", rate: int = 8000) -> str:
+def sql(docs: str = "documents", rate: int = RATE) -> str:
     """``ogg_packets(documents_as_ogg(docs))`` in DuckDB's SQL."""
     return f"""
     WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM {docs} WHERE text IS NOT NULL),
     p AS (SELECT doc_id, unnest(w) AS line, unnest(range(0, len(w))) AS packet FROM l),
     t AS (SELECT doc_id, packet, strlen(line) AS bytes, md5(line) AS packet_md5, sum(strlen(line)) OVER (PARTITION BY doc_id ORDER BY packet) AS e FROM p)
-    SELECT doc_id, 1::BIGINT AS serial, packet::BIGINT AS packet, bytes::BIGINT AS bytes, (e - bytes) / {rate}.0::DOUBLE AS start_time, e / {rate}.0::DOUBLE AS end_time, packet_md5 FROM t
+    SELECT doc_id, 1::BIGINT AS serial, packet::BIGINT + 1 AS packet, bytes::BIGINT AS bytes, (e - bytes) / {rate}.0::DOUBLE AS start_time, e / {rate}.0::DOUBLE AS end_time, packet_md5 FROM t
+    UNION ALL SELECT doc_id, 1, 0, {len(vorbis_head(rate))}, 0, 0, '{hashlib.md5(vorbis_head(rate)).hexdigest()}' FROM {docs} WHERE text IS NOT NULL
     UNION ALL SELECT doc_id, 2, 0, strlen(coalesce(lang, '')), 0, 0, md5(coalesce(lang, '')) FROM {docs} WHERE text IS NOT NULL
     UNION ALL SELECT doc_id, 2, 1, strlen(coalesce(source, '')), 0, 0, md5(coalesce(source, '')) FROM {docs} WHERE text IS NOT NULL"""
