@@ -9,8 +9,10 @@ compare, first by their first bytes, then in full. Many stretches of text advanc
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspar.llm import text as tx
-from flowspar.llm.shared import small_batches
+from flowspar.llm.shared import numbered, small_batches
 
-WORDS, LEAST_WORDS, PATTERNS_A_PASS = 13, 5, 1_000_000
+WORDS, PATTERNS_A_PASS, BYTES_A_PASS = 13, 1_000_000, 128 << 20
+TOLD_WORDS = 5  # items of fewer words are common phrases: they are reported, but no reason to drop a document
 _BITS, _BLOCK, _LANE = 20, 8, 1024
 
 
@@ -48,8 +51,8 @@ def normal_words(text: str | None) -> list[bytes]:
     return out.tobytes().split()
 
 
-def test_strings(items: list[tuple[int | None, str | None]], n: int = WORDS, least: int = LEAST_WORDS) -> dict[bytes, set]:
-    """Test string -> item_ids. Items of fewer than ``least`` words say too little to recognise them by."""
+def test_strings(items: list[tuple[int | None, str | None]], n: int = WORDS, least: int = 1) -> dict[bytes, set]:
+    """Test string -> item_ids, of the items of at least ``least`` words."""
     of: dict[bytes, set] = defaultdict(set)
     for item, text in items:
         w = normal_words(text)
@@ -132,62 +135,99 @@ def _hits(column: pa.Array, find: list[WuManber]) -> Iterator[tuple[int, bytes]]
                     yield first + row, p
 
 
+def _strings_of(n: int, least: int):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = list(test_strings([(item, text)], n, least))
+                for k in range(0, len(found), 10_000):
+                    part = found[k : k + 10_000]
+                    yield pa.record_batch([pa.array(part, pa.binary()), pa.array([item] * len(part), pa.int64())], names=["string", "item_id"])
+
+    return cut
+
+
 def _passes(benchmark: DataFrame, n: int, least: int) -> Iterator[dict[bytes, set]]:
-    """The test strings, in passes of at most PATTERNS_A_PASS, so that what goes to the executors is bounded."""
+    """The test strings in order, in passes of at most PATTERNS_A_PASS strings and BYTES_A_PASS bytes, so that what goes to
+    the executors is bounded; each string, with all its items, is in one pass. The last may be empty."""
     small_batches(benchmark.sparkSession)
-    held: dict[bytes, set] = defaultdict(set)
-    for item in benchmark.select("item_id", "text").toLocalIterator():
-        for p, ids in test_strings([tuple(item)], n, least).items():
-            held[p] |= ids
-        if len(held) >= PATTERNS_A_PASS:
-            yield held
-            held = defaultdict(set)
+    rows = numbered(benchmark, "item_id").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(_strings_of(n, least), "string binary, item_id long")
+    held: dict[bytes, set] = {}
+    size = 0
+    for string, item in rows.distinct().orderBy("string", F.asc_nulls_first("item_id")).toLocalIterator():
+        string = bytes(string)
+        if string not in held:
+            if len(held) >= PATTERNS_A_PASS or size + len(string) > BYTES_A_PASS:
+                yield held
+                held, size = {}, 0
+            held[string] = set()
+            size += len(string)
+        held[string].add(item)
     yield held
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: int = LEAST_WORDS) -> DataFrame:
+_made: list = [None, None]
+
+
+def _made_once(shared) -> list[WuManber]:
+    """The tables of a broadcast set of strings, built once in each worker process (the last set's are kept)."""
+    if _made[0] is not shared.value:
+        _made[:] = [shared.value, searchers(list(shared.value))]
+    return _made[1]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: int = 1) -> DataFrame:
     """(doc_id, item_id, strings): documents that hold test strings of an item, and how many different ones.
 
     An item's test strings are its windows of ``n`` words; an item of ``least`` to n - 1 words is one string, a
     shorter one none. Null and empty texts, on either side, hold nothing. Rows of docs count one by one (repeated
     rows give repeated results); items that repeat a text are each reported; other columns are ignored. No text is
-    shuffled; each pass over docs searches up to a million strings at once."""
+    shuffled; each pass over docs searches up to a million strings at once, and of several passes only the results
+    are brought together."""
 
-    def scan(of: dict[bytes, set]):
-        shared = docs.sparkSession.sparkContext.broadcast(dict(of))
+    def scan(of: dict[bytes, set], told: bool) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(of)
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            find = searchers(list(items))
+            items, find = shared.value, _made_once(shared)
             for batch in batches:
                 held: dict[tuple, set] = defaultdict(set)
                 for row, p in _hits(batch.column(1), find):
                     for item in items[p]:
                         held[row, item].add(p)
                 ids = batch.column(0).to_pylist() if held else []
-                yield pa.record_batch(
-                    [pa.array([ids[r] for r, _ in held], pa.int64()), pa.array([i for _, i in held], pa.int64()), pa.array([len(v) for v in held.values()], pa.int64())],
-                    names=["doc_id", "item_id", "strings"],
-                )
-
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, item_id long, strings long")
-
+                columns = [pa.array([ids[r] for r, _ in held], pa.int64()), pa.array([i for _, i in held], pa.int64()), pa.array([len(v) for v in held.values()], pa.int64())]
+                names = ["doc_id", "item_id", "strings"]
+                if told:
+                    columns.append(pa.array([hashlib.md5(batch.column(1)[r].as_py().encode()).digest() for r, _ in held], pa.binary()))
+                    names.append("digest")
+                yield pa.record_batch(columns, names=names)
+
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(search, "doc_id long, item_id long, strings long" + (", digest binary" if told else ""))
+
+    numbered(docs)
+    passes = _passes(benchmark, n, least)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        return scan(first, False)
     out = None
-    for k, of in enumerate(_passes(benchmark, n, least)):
-        one = scan(of)
+    for k, of in enumerate(chain([first, second], passes)):
+        # rows equal in doc_id and text give equal results in every pass: counted in each, added up over all
+        one = scan(of, True).groupBy("doc_id", "digest", "item_id").agg(F.count("*").alias("rows"), F.max("strings").alias("strings")).withColumn("pass", F.lit(k))
         out = one if out is None else out.unionByName(one)
-        last = k
-    return out if last == 0 else out.groupBy("doc_id", "item_id").agg(F.sum("strings").alias("strings"))
+    total = out.groupBy("doc_id", "digest", "item_id").agg(F.sum("strings").alias("strings"), F.max("rows").alias("rows"))
+    return total.select("doc_id", "item_id", "strings", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("col")
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: int = LEAST_WORDS) -> DataFrame:
-    """docs without the documents that hold any test string (see ``leaks``); the rest, and all columns, unchanged."""
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: int = TOLD_WORDS) -> DataFrame:
+    """docs without the documents that hold any test string of an item of at least ``least`` words (see ``leaks``); the
+    rest, and all columns, unchanged."""
     at = docs.columns.index("text")
     for of in _passes(benchmark, n, least):
-        shared = docs.sparkSession.sparkContext.broadcast(list(of))
+        shared = docs.sparkSession.sparkContext.broadcast(dict.fromkeys(of))
 
         def keep(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            find = searchers(shared.value)
+            find = _made_once(shared)
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 for row, _ in _hits(batch.column(at), find):
@@ -198,12 +238,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, least: int
     return docs
 
 
-def sql(docs: str = "documents", n: int = WORDS, least: int = LEAST_WORDS) -> str:
+def sql(docs: str = "documents", n: int = WORDS, least: int = 1) -> str:
     """``leaks`` in DuckDB's SQL."""
     plain = r"trim(regexp_replace(lower({}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
     return f"""
     WITH b AS (SELECT item_id, string_split({plain.format("text")}, ' ') AS w FROM benchmark WHERE text IS NOT NULL),
-    p AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM b WHERE len(w) >= {least}),
+    p AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - {n - 1}, 1) + 1)) AS i FROM b WHERE len(w) >= {least} AND w[1] <> ''),
     g AS (SELECT DISTINCT item_id, ' ' || array_to_string(list_slice(w, i, i + {n - 1}), ' ') || ' ' AS g FROM p),
     d AS (SELECT doc_id, ' ' || {plain.format("text")} || ' ' AS t FROM {docs} WHERE text IS NOT NULL)
     SELECT doc_id, item_id, count(*) AS strings FROM d JOIN g ON contains(t, g) GROUP BY doc_id, item_id"""
