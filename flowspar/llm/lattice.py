@@ -1,8 +1,8 @@
 """Subword lattice likelihood: the marginal probability of a text over all its segmentations into vocabulary pieces.
 
 The pieces and their scores come from an existing sentencepiece vocabulary (its path is a parameter; nothing is
-trained). Scores of a unigram vocabulary are log-probabilities and used as they are. A BPE vocabulary has merge ranks
-instead (score = -rank); they are read as Zipf ranks, p ~ 1 / (rank + 2), and normalised. Byte pieces get the weight
+trained). Scores of a unigram vocabulary are log-probabilities and used as they are. A BPE vocabulary (the model
+file says which it is) has merge ranks instead (score = -rank); they are read as Zipf ranks, p ~ 1 / (rank + 2), and normalised. Byte pieces get the weight
 after the last rank, so every text can be segmented.
 
 A text is a sequence of words (runs of non-white-space), each written as the word mark and its bytes; pieces don't
@@ -21,13 +21,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspar.llm import text as tx
-from flowspar.llm.shared import table
+from flowspar.llm.shared import numbered, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 LONG, BLOCK = 96, 8192
 
 
+UNIGRAM = 1
+
+
+def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(field number, value) of a protocol buffer message: numbers and byte strings; fixed-width values are skipped."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if data[at - 1] < 128:
+                return value
+
+    while at < len(data):
+        tag = varint()
+        if tag & 7 == 0:
+            yield tag >> 3, varint()
+        elif tag & 7 == 2:
+            size = varint()
+            yield tag >> 3, data[at : at + size]
+            at += size
+        else:
+            at += 8 if tag & 7 == 1 else 4
+
+
+def model_type(proto: bytes) -> int:
+    """What a model file says it is (trainer_spec.model_type): 1 unigram, 2 BPE, 3 words, 4 characters."""
+    for number, trainer in _fields(proto):
+        if number == 2:
+            return next((int(v) for n, v in _fields(trainer) if n == 3), UNIGRAM)
+    return UNIGRAM
+
+
 class Lattice:
     """A vocabulary with log-probabilities, for the forward recursion."""
 
@@ -40,19 +76,18 @@ class Lattice:
             if model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i):
                 continue
             pieces[model.id_to_piece(i).encode()] = model.get_score(i)
-        self._weigh(pieces)
+        self._weigh(pieces, model_type(model.serialized_model_proto()) != UNIGRAM)
 
     @classmethod
-    def of(cls, pieces: dict[bytes, float]) -> Lattice:
-        """A vocabulary given directly; see ``_weigh``."""
+    def of(cls, pieces: dict[bytes, float], ranked: bool = False) -> Lattice:
+        """A vocabulary given directly: log-probabilities, or merge ranks (negative) if ``ranked``."""
         self = cls.__new__(cls)
-        self._weigh(dict(pieces))
+        self._weigh(dict(pieces), ranked)
         return self
 
-    def _weigh(self, pieces: dict[bytes, float]) -> None:
+    def _weigh(self, pieces: dict[bytes, float], ranked: bool) -> None:
         proper = {k: v for k, v in pieces.items() if v > -1e8}  # -1e9 marks pieces that are never to be used
-        total = sum(np.exp(v) for v in proper.values())
-        if not 0.5 < total < 2 and proper:
+        if ranked and proper:
             ranks = {k: r for r, k in enumerate(sorted(proper, key=lambda k: (-proper[k], k)))}
             norm = np.log(sum(1 / (r + 2) for r in range(len(ranks) + 256)))
             proper = {k: float(-np.log(r + 2) - norm) for k, r in ranks.items()}
@@ -168,7 +203,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     Null, empty and white-space texts have 0 words and null scores. A null lang stays null. Rows count one by one;
     other columns are ignored; a missing lang column is null."""
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text").mapInArrow(_scan(vocabulary), "doc_id long, lang string, words long, log_prob double, log_prob_per_byte double")
+    return numbered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), "text").mapInArrow(_scan(vocabulary), "doc_id long, lang string, words long, log_prob double, log_prob_per_byte double")
 
 
 def lattice_ranks(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
