@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from flowspar.llm import text as tx
 from flowspar.llm.near import drop_near_duplicates
-from flowspar.llm.shared import table, uniform
+from flowspar.llm.shared import numbered, table, uniform
 
 DECAY, LETTERS, WIDTH = 0.7, 28, 24
-MAX_TOXIC, MAX_OTHER, MAX_SEEDS, MAX_LANDMARKS, MAX_NEGATIVES, MAX_HARD = 5_000, 10_000, 256, 128, 10_000, 4_000
+MAX_TOXIC, MAX_OTHER, LANDMARKS, NEGATIVES, HARD = 5_000, 10_000, 128, 10_000, 4_000
 EVIDENCE, TRAINING, FALSE_ALARMS = 15.0, 0.7, 0.002
 LIMITS = [x / 10 for x in range(21)]
 
@@ -191,12 +191,12 @@ class Machine:
         return out
 
 
-def train(seeds: list[str], negatives: list[str]) -> Machine:
-    """Fits the machine on words; see ``fit``."""
+def train(seeds: list[str], negatives: list[str], size: int = LANDMARKS) -> Machine:
+    """Fits the machine on words, with at most ``size`` landmarks of each kind; see ``fit``."""
     known = set(seeds)
     near = kernel(negatives, seeds).max(axis=1) if negatives else np.zeros(0)
-    closest = [negatives[i] for i in np.argsort(-near, kind="stable")[:MAX_LANDMARKS]]
-    landmarks = seeds[:MAX_LANDMARKS] + closest
+    closest = [negatives[i] for i in np.argsort(-near, kind="stable")[:size]]
+    landmarks = seeds[:size] + closest
     alphabet = "abcdefghijklmnopqrstuvwxyz"
     inserted = [w[:i] + alphabet[(i * 7 + k * 5 + len(w)) % 26] + w[i:] for w in seeds for i in range(1, len(w)) for k in range(3)]
     bad = set(negatives)
@@ -237,17 +237,19 @@ def _sentence_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.record_batch([pa.array(toxic[np.array(of)[row[one]]].astype(np.int32)), pa.array(words), pa.array(count)], names=["toxic", "word", "places"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, seed: str = "toxic") -> Machine | None:
-    """Trains on at most MAX_TOXIC toxic and MAX_OTHER other labelled documents, drawn by hash of the doc_id and freed of
-    near-duplicates; only their ids, and then bounded lists of words, leave the executors. A document labelled both ways
+def fit(docs: DataFrame, labels: DataFrame, seed: str = "toxic", max_toxic: int = MAX_TOXIC, max_other: int = MAX_OTHER, landmarks: int = LANDMARKS, negatives: int = NEGATIVES, hard_negatives: int = HARD) -> Machine | None:
+    """Trains on at most ``max_toxic`` toxic and ``max_other`` other labelled documents, drawn by hash of the doc_id and
+    freed of near-duplicates; only their ids, and then lists of their words, leave the executors. Every word with enough
+    evidence is a positive. Of the words of other documents ``negatives`` are drawn by hash, and the ``hard_negatives``
+    most like the positive ones are added. ``landmarks`` is the number of Nystroem landmarks of each kind. A document labelled both ways
     counts as toxic. Returns None where no word tells toxic documents from others.
 
     Of these documents TRAINING train the machine; the others set its limits (see ``_calibrate``). A positive word is found
     in toxic documents at least 20 times as often as in others, with evidence (a Chernoff bound) of at least EVIDENCE."""
     per = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic")).where("_id is not null and toxic is not null")
     draw = lambda y, n: per.where(F.col("toxic") == y).orderBy(uniform(seed, "_id"), "_id").limit(n)
-    drawn = draw(1, MAX_TOXIC).unionByName(draw(0, MAX_OTHER)).withColumn("training", uniform(seed + "-training", "_id") < TRAINING)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "training")
+    drawn = draw(1, max_toxic).unionByName(draw(0, max_other)).withColumn("training", uniform(seed + "-training", "_id") < TRAINING)
+    rows = numbered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic", "training")
     rows = table(drop_near_duplicates(table(rows, "labelled")), "single")
     found = rows.where("training").select("toxic", "doc_id", "text").mapInArrow(_sentence_words, "toxic int, word string, places long")
     is_toxic = F.col("toxic") == 1
@@ -258,15 +260,15 @@ def fit(docs: DataFrame, labels: DataFrame, seed: str = "toxic") -> Machine | No
     t, o = F.col("toxic").cast("double"), F.col("other").cast("double")
     part = lambda n, p: F.when(n > 0, n * F.log(n / ((t + o) * p))).otherwise(0.0)
     strength = part(t, share) + part(o, 1 - share)
-    seeds = [r["word"] for r in words.where("toxic > 20 * other and length(word) >= 4").where(strength >= EVIDENCE).orderBy(F.desc(strength), "word").limit(MAX_SEEDS).collect()]
+    seeds = [r["word"] for r in words.where("toxic > 20 * other and length(word) >= 4").where(strength >= EVIDENCE).orderBy(F.desc(strength), "word").collect()]
     if not seeds:
         return None
-    others = words.where("other > 0").where(~F.col("word").isin(seeds))
-    plain = [r["word"] for r in others.orderBy(uniform(seed + "-words", "word"), "word").limit(MAX_NEGATIVES).select("word").collect()]
+    others = words.where("other > 0").join(docs.sparkSession.createDataFrame([(w,) for w in seeds], "word string"), "word", "left_anti")
+    plain = [r["word"] for r in others.orderBy(uniform(seed + "-words", "word"), "word").limit(negatives).select("word").collect()]
     near = sum(features(z) for z in seeds)
     first = Machine(near, 0.0)
-    hard = [r["word"] for r in others.mapInArrow(_scored(first, -np.inf), _SCORED).orderBy(F.desc("score"), "word").limit(MAX_HARD).select("word").collect()]
-    machine = train(seeds, sorted({*plain, *hard}))
+    hard = [r["word"] for r in others.mapInArrow(_scored(first, -np.inf), _SCORED).orderBy(F.desc("score"), "word").limit(hard_negatives).select("word").collect()]
+    machine = train(seeds, sorted({*plain, *hard}), landmarks)
 
     machine.seeds = seeds
     held = rows.where("not training").select("toxic", "text")
