@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowspar.llm import text as tx
-from flowspar.llm.shared import table, top_k, uniform
+from flowspar.llm.shared import numbered, table, top_k, uniform
 
 BUCKETS, MAX_LABELLED = 10_000, 20_000
 
@@ -73,7 +73,7 @@ def importance_scores(docs: DataFrame, labels: DataFrame, n: int = BUCKETS, max_
     bounded and can be sent to all executors. With no labelled document every weight is the same for equal lengths."""
     good = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("q")).where("q = 1 and _id is not null")
     drawn = good.orderBy(uniform(seed, "_id"), "_id").limit(max_labelled).select("_id", F.lit(True).alias("_target"))
-    marked = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(F.broadcast(drawn), F.col("_doc") == F.col("_id"), "left")
+    marked = numbered(docs).select(F.col("doc_id").cast("long").alias("_doc"), "text").join(F.broadcast(drawn), F.col("_doc") == F.col("_id"), "left")
     marked = marked.select("text", F.coalesce("_target", F.lit(False)).alias("_target"))
     sums = marked.mapInArrow(_count(n), "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
     held = np.zeros((2, n))

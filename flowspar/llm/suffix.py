@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspar.llm import text as tx
-from flowspar.llm.shared import table
+from flowspar.llm.shared import numbered, table
 
 LENGTH, RUN = 50, 5
 _PART, _BATCH = 1 << 19, 60_000
@@ -229,11 +229,11 @@ def _sort_pieces(length: int):
         )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, words = [], 0
+        held, words, enough = [], 0, _BATCH
         for batch in batches:
             held.append(batch)
             words += len(tx.strings(batch.column(4))[0]) // 4
-            if words < _BATCH:
+            if words < enough:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             h = rows.column("h").to_numpy()
@@ -247,6 +247,7 @@ def _sort_pieces(length: int):
                     first = e
             rest = rows.slice(first)
             held, words = rest.to_batches(), int(sums[-1] - sums[first])
+            enough = max(_BATCH, 2 * words)  # a hot key is looked through again only when it has doubled
         if held:
             yield from solve(pa.Table.from_batches(held))
 
@@ -293,7 +294,7 @@ def _spans(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, digest, key, spans) of every distinct (doc_id, text) that holds repeated windows. A written table."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    named = numbered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     found = table(named.mapInArrow(_anchors(length), "doc_id long, digest binary, words long, h array<long>, lo array<int>, hi array<int>").where(f"words >= {length}"), "anchors")
 
     members = found.select("doc_id", "digest", "words").distinct()
