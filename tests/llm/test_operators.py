@@ -1,5 +1,7 @@
 """The operators on Spark: odd rows, empty tables, brute force, SQL, held-out accuracy."""
 
+import gzip
+import hashlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -82,10 +84,15 @@ def test_sql_agrees(spark, tables):
     for t in tables:
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     docs = tables["documents"]
-    runs = {suffix.sql(): suffix.repeated_spans(docs), mixing.sql(): mixing.poisson_mix(docs), ogg.sql(): ogg.ogg_packets(ogg.documents_as_ogg(docs)), decontaminate.sql(): decontaminate.leaks(docs, tables["benchmark"]), capture.sql(): capture.capture_index(tables["pages"], block=16), chat.sql(): chat.reply_paths(chat.reply_parents(tables["conversations"]))}
+    runs = {suffix.sql(): suffix.repeated_spans(docs), mixing.sql(): mixing.poisson_mix(docs, mixing.quality_weights(docs, tables["labels"])), ogg.sql(): ogg.ogg_packets(ogg.documents_as_ogg(docs)), decontaminate.sql(): decontaminate.leaks(docs, tables["benchmark"]), capture.sql(): capture.capture_index(tables["pages"], block=16), chat.sql(): chat.reply_paths(chat.threaded(chat.reply_parents(tables["conversations"])))}
     plain = lambda rows: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows)
     for sql, df in runs.items():
-        assert plain(map(tuple, df.collect())) == plain(con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()), sql[:80]
+        rows = [tuple(r) for r in df.collect()]
+        assert plain(rows) == plain(con.execute(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()), sql[:80]
+        if "branch" in df.columns:
+            assert max(r[df.columns.index("branch")] for r in rows) > 1
+    rate = {round(r["rate"], 6) for r in mixing.rates(docs, mixing.quality_weights(docs, tables["labels"])).collect()}
+    assert len(rate) > 3  # sources of equal size, unequal targets
 
 
 def test_captures_of_odd_pages(spark):
@@ -189,21 +196,192 @@ def test_toxicity_held_out(spark):
     assert np.mean([d in rejected for d in toxic]) >= 0.6 and np.mean([d in rejected for d in clean]) <= 0.01
 
 
-def test_pipeline_stages(spark):
-    """Each stage against the operator's own report, and the copies against the mixing SQL."""
+def test_ids_other_than_integers_are_refused(spark):
+    named = spark.createDataFrame([("a", "some text of words", "web")], "doc_id string, text string, source string")
+    for f in (near.near_duplicates, suffix.repeated_spans, lattice.lattice_ranks, lambda d: quality.importance_scores(d, labels(spark)), lambda d: decontaminate.leaks(d, items(spark)), lambda d: toxicity.fit(d, labels(spark))):
+        with pytest.raises(TypeError, match="doc_id"):
+            f(named)
+
+
+def test_white_space_is_no_copy(spark):
+    blank = spark.createDataFrame([(1, "\n\t"), (2, "\n\t"), (3, " \r\n"), (4, None), (5, "\x0b\f"), (6, "\n\t")], "doc_id long, text string")
+    assert near.near_duplicates(blank).count() == 0 and near.drop_near_duplicates(blank).count() == 6
+
+
+def test_captures_of_urls_with_line_breaks(spark):
+    rows = [(1, "http://a.b/x\r\n\r\ny", "HELLO"), (2, "http://a.b/x\r\n\r\ny", "HELLO\r\n\r\nagain"), (3, "http://a.b/ \x00", None)]
+    out = {r["page_id"]: r for r in capture.capture_index(spark.createDataFrame(rows, "page_id long, url string, html string"), block=2).collect()}
+    assert {k: r["payload_bytes"] for k, r in out.items()} == {1: 5, 2: 14, 3: 0} and out[1]["captures"] == 2
+    head = gzip.decompress(capture.warc_member("u\nv", "00", b"x")).split(b"\r\n\r\n")[0].decode()
+    assert "WARC-Target-URI: u%0Av" in head and "WARC-Date: " in head
+
+
+def test_odd_conversations(spark):
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 1, "assistant", "aaa"), (1, None, "user", "late"), (1, 2, None, None), (None, 0, "user", "x"), (2, 0, "user", ""), (3, 5, "user", "w " * 50_000)]
+    turns = spark.createDataFrame([(*r, 7, "z") for r in rows], "conv_id long, turn long, role string, text string, tree int, parent string")
+    m = chat.reply_parents(turns)
+    assert sorted((r["tree"], r["node"], r["parent"]) for r in m.collect()) == [(1, 1, None), (1, 2, 1), (1, 3, 1), (1, 4, 3), (1, 5, 4), (2, 1, None), (3, 1, None)]
+    out = {(r["tree"], r["leaf"]): r for r in chat.reply_paths(m).collect()}
+    assert (1, 2) in out and (2, 1) in out and out[3, 1]["score"] == 100_000
+    assert out[1, 2]["conversation"] == "<|user|>\nhi\n<|assistant|>\naaa\n" and out[1, 2]["branch"] in (1, 2)
+    assert {r["branch"] for k, r in out.items() if k[0] == 1} == {1, 2} and out[2, 1]["conversation"] == "<|user|>\n\n"
+
+
+def test_repeated_nodes_and_ties(spark):
+    rows = [(1, 1, None, "user", "q"), (1, 2, 1, "assistant", "b"), (1, 2, 1, "assistant", "a"), (1, 2, 1, "assistant", "a"), (1, 3, 1, "assistant", "a"), (1, 4, 9, "user", "lost"), (None, 1, None, "user", "n"), (1, None, 1, "user", "n")]
+    out = chat.reply_paths(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string")).collect()
+    assert [(r["leaf"], r["messages"], r["branch"]) for r in sorted(out, key=lambda r: r["branch"])] == [(4, 1, 1), (2, 2, 2), (3, 2, 3)]
+    assert next(r["conversation"] for r in out if r["leaf"] == 2) == "<|user|>\nq\n<|assistant|>\na\n"
+
+
+def test_leaks_in_several_passes(spark, odd, monkeypatch):
+    """The same rows, repeated ones included, whatever the size of a pass; short items are reported, but drop nothing."""
+    more = items(spark, ((1, PASSAGE), (1, PASSAGE + " and more words at the end"), (2, None), (4, "plain text"), (None, "a plain text of some words")))
+    count = lambda df: Counter(tuple(r) for r in df.collect())
+    one = count(decontaminate.leaks(odd, more))
+    assert one[1, 4, 1] == 2 and one[1, None, 1] == 2 and any(k[:2] == (6, 1) for k in one)
+    monkeypatch.setattr(decontaminate, "PATTERNS_A_PASS", 7)
+    assert count(decontaminate.leaks(odd, more)) == one
+    assert {r["doc_id"] for r in decontaminate.drop_leaks(odd, more).collect()} == {1, 2, 3, 4, 5, 7, 8}
+
+
+def test_ogg_rates_and_pages_that_go_on(spark):
+    assert [ogg.sample_rate(h) for h in (b"OpusHead" + bytes(11), ogg.vorbis_head(44_100), b"Speex   " + bytes(28) + (16_000).to_bytes(4, "little"), b"\x7fFLAC" + bytes(22) + (48_000 << 4).to_bytes(3, "big"), b"text", b"")] == [48_000, 44_100, 16_000, 48_000, None, None]
+    docs = spark.createDataFrame([(1, "a" * 2000 + "\nb", "en", "web")], "doc_id long, text string, lang string, source string")
+    media = ogg.documents_as_ogg(docs).first()["media"]
+    assert sum(media[i + 5] & ogg.CONTINUED for i in range(len(media)) if media[i : i + 4] == b"OggS") >= 3
+    out = sorted((r["serial"], r["packet"], r["bytes"], r["end_time"]) for r in ogg.ogg_packets(ogg.documents_as_ogg(docs)).collect())
+    assert out == [(1, 0, 30, 0.0), (1, 1, 2000, 2000 / ogg.RATE), (1, 2, 1, 2001 / ogg.RATE), (2, 0, 2, 0.0), (2, 1, 3, 0.0)]
+
+
+def test_importance_sample_by_brute_force(spark, tables):
+    """op1's sample: weight plus Gumbel noise hashed by hashlib, the k largest."""
+    docs, marks = tables["documents"], tables["labels"]
+    weight = {r["doc_id"]: (r["log_weight"], r["grams"]) for r in quality.importance_scores(docs, marks).collect()}
+    u = lambda i: (int(hashlib.md5(f"quality-gumbel|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    key = {i: w - np.log(-np.log(u(i))) for i, (w, grams) in weight.items() if grams}
+    good = defaultdict(int)
+    for r in marks.collect():
+        good[r["doc_id"]] = max(good[r["doc_id"]], r["quality"])
+    k = round(np.mean(list(good.values())) * len(key))
+    out = {r["doc_id"]: r["sample_key"] for r in quality.importance_resample(docs, marks).collect()}
+    assert set(out) == set(sorted(key, key=lambda i: (-key[i], i))[:k]) and 0 < k < len(key)
+    assert all(out[i] == pytest.approx(key[i]) for i in out)
+
+
+def test_lattice_ranks_by_brute_force(spark, tables):
+    scores = [r for r in lattice.lattice_scores(tables["documents"]).collect() if r["words"]]
+    out = {r["doc_id"]: r for r in lattice.lattice_ranks(tables["documents"]).collect()}
+    for lang in {r["lang"] for r in scores}:
+        own = sorted((r for r in scores if r["lang"] == lang), key=lambda r: (-r["log_prob_per_byte"], r["doc_id"], r["log_prob"]))
+        for place, r in enumerate(own, 1):
+            third = "head" if place * 3 <= len(own) else "middle" if place * 3 <= 2 * len(own) else "tail"
+            got = out[r["doc_id"]]
+            assert (got["lang_rank"], got["lang_docs"], got["third"]) == (place, len(own), third)
+    model = lattice._lattice(lattice.VOCABULARY)
+    for r in tables["documents"].orderBy("doc_id").limit(5).collect():
+        assert out[r["doc_id"]]["log_prob"] == pytest.approx(sum(model.word(lattice.MARK + w.encode()) for w in r["text"].split()), rel=1e-9)
+
+
+def plain_words(text):
+    return "".join(c if c.isascii() and c.isalnum() or c > "\x7f" else " " for c in text.lower()).split()
+
+
+def test_pipeline_by_brute_force(spark, tables):
+    """Every stage on what the one before kept, against plain Python: the machine's kernel sums, all pairs of documents,
+    all windows of 50 words, all occurrences of test strings, and Poisson numbers."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
     ids = lambda df: {r["doc_id"] for r in df.select("doc_id").collect()}
-    reports = [lambda d: toxicity.toxic_documents(d, spark.read.parquet(f"{SF}/labels.parquet")), near.near_duplicates, None, lambda d: decontaminate.leaks(d, spark.read.parquet(f"{SF}/benchmark.parquet"))]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "suffix_array_dedup", "decontamination", "mixing"]
-    for (name, stage), report in zip(corpus_pipeline.STAGES[:-1], reports):
-        after = corpus_pipeline.table(stage(spark, docs, SF), name)
-        assert after.columns == docs.columns
-        if report:
-            assert ids(after) == ids(docs) - ids(report(docs)), name
-        else:
-            assert after.where("text is not null").count() <= docs.count() and suffix.repeated_spans(after).where("again").count() == 0
-        docs = after
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert ids(out) <= ids(docs) and {"copy", "shuffle_key"} <= set(out.columns)
+    docs, after = tables["documents"], {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        out = corpus_pipeline.table(stage(spark, docs, SF), name)
+        after[name] = (before, out)
+        if name != "mixing":
+            assert out.columns == tables["documents"].columns
+        docs = out
+
+    before, out = after["toxicity"]
+    machine = toxicity.fit(tables["documents"], tables["labels"])
+    if machine is None:
+        assert ids(out) == set(before)
+    else:
+        for i, text in sorted(before.items())[:60]:
+            codes, a, b, row = toxicity.units(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+            order = np.argsort(a, kind="stable")
+            raw = codes.tobytes().translate(toxicity._ASCII + bytes(256 - len(toxicity._ASCII)))
+            score = [toxicity.features(raw[x:y].decode()) @ machine.table + machine.bias for x, y in zip(a[order], b[order])]
+            best = run = -np.inf
+            for v in score:
+                run = max(run, 0) + machine.gain * (v > machine.limit) - machine.cost
+                best = max(best, run) if any(s > machine.limit for s in score) else -np.inf
+            assert (i in ids(out)) == (not best > machine.needed)
+
+    before, out = after["near_duplicates"]
+    grams = {i: set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} for i, w in ((i, plain_words(t)) for i, t in before.items())}
+    kept, gone = ids(out), set(before) - ids(out)
+    jaccard = lambda i, j: len(grams[i] & grams[j]) / max(1, len(grams[i] | grams[j]))
+    assert gone and all(any(before[i] == before[j] or jaccard(i, j) > 0.35 for j in before if j != i) for i in gone)
+    close = [(i, j) for i, j in combinations(sorted(kept), 2) if grams[i] and jaccard(i, j) >= 0.75]
+    assert len(close) <= 0.05 * len(gone) and len(set(before[i] for i in kept)) == len(kept)
+
+    before, out = after["suffix_array_dedup"]
+    seen, expected = set(), {}
+    for i in sorted(before):
+        w = before[i].split()
+        again = set()
+        for k in range(len(w) - 49):
+            window = tuple(w[k : k + 50])
+            if window in seen:
+                again.update(range(k, k + 50))
+            seen.add(window)
+        rest = [x for k, x in enumerate(w) if k not in again]
+        if rest or not w:
+            expected[i] = rest
+    assert {r["doc_id"]: r["text"].split() for r in out.collect()} == expected
+
+    before, out = after["decontamination"]
+    strings = set()
+    for r in tables["benchmark"].collect():
+        w = plain_words(r["text"])
+        if len(w) >= decontaminate.TOLD_WORDS:
+            strings.update(" " + " ".join(w[k : k + 13]) + " " for k in range(max(1, len(w) - 12)))
+    leaked = {i for i, t in before.items() if any(s in " " + " ".join(plain_words(t)) + " " for s in strings)}
+    assert ids(out) == set(before) - leaked
+
+    _, out = after["mixing"]
+    rows = {r["doc_id"]: r["source"] for r in after["decontamination"][1].collect()}
+    good = defaultdict(int)
+    for r in tables["labels"].collect():
+        good[r["doc_id"]] = max(good[r["doc_id"]], r["quality"])
+    tally = defaultdict(lambda: [0, 0, 0])
+    for i, s in rows.items():
+        tally[s][0] += 1
+        if i in good:
+            tally[s][1 if good[i] == 1 else 2] += 1
+    weight = {s: g / (b + 1) for s, (_, g, b) in tally.items()}
+    wanted = Counter()
+    for i, s in rows.items():
+        rate = len(rows) * weight[s] / sum(weight.values()) / tally[s][0]
+        u = (int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        n, mass = 0, np.exp(-rate)
+        below = mass
+        while below < u:
+            n, mass = n + 1, mass * rate / (n + 1)
+            below += mass
+        wanted[i] = n
+    assert Counter(r["doc_id"] for r in out.collect()) == +wanted
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels(spark).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        items(spark).write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert {"doc_id", "text", "copy", "shuffle_key"} <= set(out.columns)
+        assert (out.count() == 0) if name == "none" else {r["doc_id"] for r in out.collect()} <= {1, None, 2, 3, 4, 5, 7, 8}
