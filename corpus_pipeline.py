@@ -33,8 +33,8 @@ def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to equal shares; the rows are shuffled."""
-    return mixing.poisson_mix(docs)
+    """Sources are brought to shares by the quality of their labelled documents; the rows are shuffled."""
+    return mixing.poisson_mix(docs, mixing.quality_weights(docs, _read(spark, sf_dir, "labels")))
 
 
 STAGES = [
@@ -45,7 +45,8 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: SQL can't express the toxicity machine, so there is none for the whole; tests hold the stages against brute force.
+#: SQL can't express the toxicity machine, so there is none for the whole; tests/llm holds the stages against
+#: brute force.
 ORACLE_SQL = None
 
 
