@@ -48,7 +48,7 @@ _LANGUAGES = {"python": "py pyi", "javascript": "js jsx mjs cjs", "java": "java"
 
 def language(path: str | Column) -> Column:
     """The language of a file by its extension; null for others."""
-    extension = F.regexp_extract(_c(path), r"\.([A-Za-z]+)$", 1)
+    extension = F.lower(F.regexp_extract(_c(path), r"\.([A-Za-z]+)$", 1))
     return F.coalesce(*(F.when(extension.isin(x.split()), F.lit(name)) for name, x in _LANGUAGES.items()))
 
 

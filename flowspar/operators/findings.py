@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from flowspar import schema as S
 from flowspar.operators import label as L
-from flowspar.operators.match import best_tier, first_by, ratio
+from flowspar.operators.match import exact_or_first, first_by, ratio
+from flowspar.sources.durable import durable, small
 
 
 def mapped(values: dict, key: str | Column, default: Column) -> Column:
@@ -75,8 +76,8 @@ def sanitizers(chain_steps: DataFrame, rules: DataFrame, keys: list[str]) -> Dat
     known = (F.col("node_type") == "call_site") & F.col("prev_var").isNotNull() & (F.size(F.coalesce("call_args", F.array())) > 0)
     through = F.exists("call_args", lambda a: L.identifier_in(a, F.col("prev_var")))
     used = stated.where(~known | F.coalesce(through, F.lit(True)))
-    hits = L.match_all(used, rules, "sanitizers").select("text", "category").distinct()
-    return used.join(hits, "text").groupBy(*keys).agg(F.array_sort(F.collect_set("category")).alias("sanitizers"))
+    hits = L.with_matches(used, rules, "sanitizers").where("size(_m) > 0").select(*keys, F.explode(L.category_set()).alias("category"))
+    return hits.groupBy(*keys).agg(F.array_sort(F.collect_set("category")).alias("sanitizers"))
 
 
 def build(paths: DataFrame, nodes: DataFrame, rules: DataFrame, cap: int = S.PER_CATEGORY, overrides: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -93,10 +94,12 @@ def build(paths: DataFrame, nodes: DataFrame, rules: DataFrame, cap: int = S.PER
     rows = rows.where(position_gate(F.col("category"), F.coalesce("sink_call_args", F.array().cast("array<string>")), F.coalesce("tainted", F.lit(""))))
     place = ["source_file_path", "source_line", "sink_file_path", "sink_line"]
     one = first_by(rows, ["category", *place], ["source", "event", "sink"])
+    one = durable(one, "candidates")  # the cap and its count both read them
     cut = truncated(one, "category", cap)
     kept = capped(one, "category", ["source", "event", "sink"], cap)
-    matched = L.match_all(mini.withColumnRenamed("text", "t"), rules, "sinks", "t").groupBy("text", "category").agg(F.max(F.length("pattern")).alias("pattern_length"))
-    kept = kept.join(matched, (kept["sink_text"] == matched["text"]) & (kept["category"] == matched["category"]), "left").drop(matched["category"]).withColumn("pattern_length", F.coalesce("pattern_length", F.lit(0)))
+    own = F.filter("_m", lambda r: r["category"] == F.col("category"))
+    length = F.coalesce(F.array_max(F.transform(own, lambda r: F.length(r["pattern"]))), F.lit(0))
+    kept = durable(L.with_matches(kept, rules, "sinks", "sink_text").withColumn("pattern_length", length).drop("_m"), "kept")
     merged = merge_categories(kept, place)
     on = kept.join(merged, place).where(F.col("category") == F.col("main"))
     clean = sanitizers(steps(on, mini, ["source", "sink", "nth"]), rules, ["source", "sink", "nth"])
@@ -110,19 +113,22 @@ def build(paths: DataFrame, nodes: DataFrame, rules: DataFrame, cap: int = S.PER
     return found, cut
 
 
-def pattern_findings(nodes: DataFrame, rules: DataFrame, taints: DataFrame, cap: int = S.PER_CATEGORY, overrides: dict[str, str] | None = None) -> DataFrame:
-    """Findings that need no source: nodes labelled with a pattern category, unless a taint finding covers the place."""
-    wanted = [r[0] for r in rules.where("section = 'pattern_sinks'").select("pattern").distinct().collect()]
-    rows = nodes.withColumn("category", F.explode("taint_sink")).where(F.col("category").isin(wanted))
+def pattern_findings(nodes: DataFrame, rules: DataFrame, taints: DataFrame, cap: int = S.PER_CATEGORY, overrides: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Findings that need no source: nodes labelled with a pattern category, unless a taint finding covers the place; and
+    how many of each category the cap leaves out."""
+    wanted = rules.where("section = 'pattern_sinks'").select(F.col("pattern").alias("category")).distinct()
+    rows = nodes.withColumn("category", F.explode("taint_sink")).join(F.broadcast(wanted) if small(wanted, L.RULES_SENT) else wanted, "category", "left_semi")
     rows = first_by(rows, ["category", "file_path", "line"], ["node_id"])
-    covered = taints.select(F.col("sink.file_path").alias("file_path"), F.col("sink.line").alias("line"), F.col("vuln_type").alias("category"))
-    rows = capped(suppress_aliases(rows, covered, ["file_path", "line"]), "category", ["file_path", "line", "node_id"], cap)
+    covered = taints.select(F.col("sink.file_path").alias("file_path"), F.col("sink.line").alias("line"), F.explode(F.concat(F.array("vuln_type"), "related_categories")).alias("category"))
+    open_rows = durable(suppress_aliases(rows, covered, ["file_path", "line"]), "patterns")
+    rows, cut = capped(open_rows, "category", ["file_path", "line", "node_id"], cap), truncated(open_rows, "category", cap)
     ref = F.struct("file_path", "line", "function", F.col("text").alias("code"), "category")
     empty = F.array().cast("array<string>")
-    return rows.select(
+    found = rows.select(
         F.sha2(F.concat_ws("|", F.lit("pattern"), "category", "file_path", "line"), 256).substr(1, 16).alias("id"), F.col("category").alias("vuln_type"), severity("category", overrides).alias("severity"),
         ref.alias("source"), ref.alias("sink"), F.array("node_id").alias("path"), F.array(F.lit(S.PATTERN)).alias("etypes"), empty.alias("sanitizers"), F.lit(False).alias("sanitized"), empty.alias("related_categories"), F.lit(True).alias("is_pattern"),
     )
+    return found, cut
 
 
 def chains(found: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -133,20 +139,27 @@ def chains(found: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def link_endpoints(found: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """found with endpoint: the one whose handler holds the source, else the first of its file, else match = 'none'."""
-    e = endpoints.select(F.struct("route", "methods", "handler", F.col("file_path").alias("file_path"), "line", "framework", "params").alias("_e"))
-    rank = F.when(F.col("_e.handler") == F.col("source.function"), 0).when(F.col("_e").isNotNull(), 1)
-    rows = best_tier(found, e, F.col("_e.file_path") == F.col("source.file_path"), ["id"], rank, [F.asc_nulls_last("_e.line"), F.asc_nulls_last("_e.route")])
-    kind = F.when(F.col("_e").isNull(), "none").when(F.col("_e.handler") == F.col("source.function"), "exact").otherwise("file")
-    return rows.withColumn("endpoint", F.struct(kind.alias("match"), *(F.col(f"_e.{c}").alias(c) for c in ("route", "methods", "handler", "file_path", "line", "framework", "params")))).drop("_e")
-
-
-def elements(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each labelled node and category: kind, category, place, code, and whether a finding covers it."""
-    rows = nodes.where("taint_source is not null or taint_sink is not null").withColumn("kind", F.when(F.col("taint_source").isNotNull(), "source").otherwise("sink"))
+    """found with endpoint: the first (by line, route) whose handler holds the source, else the first of its file, else
+    match = 'none'."""
+    columns = ["route", "methods", "handler", "file_path", "line", "framework", "params"]
+    right = endpoints.select(F.col("file_path").alias("_path"), F.col("handler").alias("_fn"), F.struct(*columns).alias("_e"), F.col("line").alias("_l"), F.col("route").alias("_r"))
+    left = found.withColumn("_path", F.col("source.file_path")).withColumn("_fn", F.col("source.function"))
+    rows = exact_or_first(left, right, ["id"], ["_path", "_fn"], ["_path"], ["_l", "_r"], ["_e"])
+    kind = F.when(F.col("match") == "group", "file").otherwise(F.col("match"))
+    return rows.withColumn("endpoint", F.struct(kind.alias("match"), *(F.col(f"_e.{c}").alias(c) for c in columns))).drop("_e", "_path", "_fn", "match")
+
+
+def elements(nodes: DataFrame, found: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row for each labelled node and category (T8): kind, category, place, code, the rules' patterns found in it, and
+    whether a finding begins (sources) or ends (sinks) at that place. A source is no sink."""
+    rows = nodes.where("(taint_source is not null or taint_sink is not null) and file_path is not null and line > 0").withColumn("kind", F.when(F.col("taint_source").isNotNull(), "source").otherwise("sink"))
+    rows = L.with_matches(L.with_matches(rows, rules, "sources", into="_a"), rules, "sinks", into="_b")
     rows = rows.withColumn("category", F.explode(F.coalesce("taint_source", "taint_sink")))
-    places = found.select(F.col("source.file_path").alias("file_path"), F.col("source.line").alias("line")).unionByName(found.select(F.col("sink.file_path").alias("file_path"), F.col("sink.line").alias("line"))).distinct().withColumn("covered", F.lit(True))
-    return rows.select("kind", "category", "file_path", "line", "function", F.col("text").alias("code")).join(places, ["file_path", "line"], "left").withColumn("covered", F.coalesce("covered", F.lit(False))).orderBy("kind", "category", "file_path", "line")
+    own = F.filter(F.when(F.col("kind") == "source", F.col("_a")).otherwise(F.col("_b")), lambda r: r["category"] == F.col("category"))
+    side = lambda k: found.select(F.lit(k).alias("kind"), F.col(f"{k}.file_path").alias("file_path"), F.col(f"{k}.line").alias("line"))
+    places = side("source").unionByName(side("sink")).distinct().withColumn("covered", F.lit(True))
+    rows = rows.select("kind", "category", "file_path", "line", "function", F.col("text").alias("code"), "node_type", F.transform(own, lambda r: r["pattern"]).alias("patterns"))
+    return rows.join(places, ["kind", "file_path", "line"], "left").withColumn("covered", F.coalesce("covered", F.lit(False))).orderBy("kind", "category", "file_path", "line", "code")
 
 
 def canonical(found: DataFrame, linked: DataFrame, call_chains: DataFrame) -> DataFrame:

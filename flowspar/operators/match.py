@@ -5,23 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowspar.sources.durable import durable
+
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each group (rank 1 of a window, so the whole order is explicit)."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def last_wins(df: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
+    """One row for each key, with the values of its last row by ``order`` (ties: the largest values)."""
+    simple = [c for c in values if not dict(df.dtypes)[c].startswith("map")]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*values), F.struct(*order, *simple)).alias("_v"))
+    return best.select(*keys, *(F.col(f"_v.{c}").alias(c) for c in values))
+
+
+WIDER, LEVELS = 4, 16
+
+
 def in_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, bucket: int | None = None) -> DataFrame:
     """points joined with the spans of the same keys that hold them (start <= point <= end).
 
-    With ``bucket``, spans are spread over buckets of that many units and the join is on keys and bucket, which keeps a
-    key with very many spans from being one task's quadratic work."""
+    With ``bucket``, the join is on keys and bucket, which keeps a key with very many spans from being one task's
+    quadratic work. Buckets of level k are bucket * WIDER ** k units wide; a span is filed at the first level at which it
+    lies in at most two of them, and a point is looked up at each level. So neither grows with a span's width."""
     held = F.col(point).between(F.col(start), F.col(end))
     if bucket is None:
         return points.join(spans, keys).where(held)
-    cut = lambda c: F.floor(F.col(c) / bucket).cast("bigint")
-    wide = spans.withColumn("_bucket", F.explode(F.sequence(cut(start), cut(end)))) if start != end else spans.withColumn("_bucket", cut(start))
-    return points.withColumn("_bucket", cut(point)).join(wide, [*keys, "_bucket"]).where(held).drop("_bucket")
+    size = lambda k: float(bucket * WIDER**k)
+    span = F.col(end) - F.col(start)
+    level = F.coalesce(*(F.when(span <= size(k), k) for k in range(LEVELS - 1)), F.lit(LEVELS - 1))
+    width = F.lit(float(bucket)) * F.pow(F.lit(float(WIDER)), F.col("_level"))
+    cut = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    wide = spans.where(F.col(end) >= F.col(start)).withColumn("_level", level).withColumn("_bucket", F.explode(F.sequence(cut(start), cut(end))))
+    each = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_bucket", cut(point))
+    return each.join(wide, [*keys, "_level", "_bucket"]).where(held).drop("_level", "_bucket")
 
 
 def smallest_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, ties: list[str], point_keys: list[str], bucket: int | None = None) -> DataFrame:
@@ -35,7 +53,7 @@ def tiers(left: DataFrame, right: DataFrame, left_key: list[str], conditions: li
     condition) over left and right with names of their own; the result is columns plus tier."""
     rest, out = left, None
     for tier, on in conditions:
-        hit = rest.join(right, on).select(*left_key, *columns, F.lit(tier).alias("tier"))
+        hit = durable(rest.join(right, on).select(*left_key, *columns, F.lit(tier).alias("tier")), "tier")  # later tiers read it
         out = hit if out is None else out.unionByName(hit)
         rest = rest.join(hit.select(*left_key).distinct(), left_key, "left_anti")
     return out
@@ -46,6 +64,19 @@ def best_tier(left: DataFrame, right: DataFrame, on: Column, left_key: list[str]
     return first_by(left.join(right, on, "left").withColumn("_rank", rank), left_key, [F.asc_nulls_last("_rank"), *order]).drop("_rank")
 
 
+def exact_or_first(left: DataFrame, right: DataFrame, left_key: list[str], exact: list[str], group: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Left join in tiers: the first right row (by ``order``) with the same ``exact`` keys, else the first of the same
+    ``group``, else none; ``match`` says which ('exact', 'group', 'none'). Right rows are ranked before they are joined, so
+    a large group costs no pairs."""
+    pick = F.struct(*columns)
+    best = lambda keys: right.groupBy(*keys).agg(F.min_by(pick, F.struct(*order)).alias("_" + keys[-1]))
+    one, two = best(exact).withColumnRenamed("_" + exact[-1], "_one"), best(group).withColumnRenamed("_" + group[-1], "_two")
+    rows = left.join(one, exact, "left").join(two, group, "left")
+    chosen = F.coalesce("_one", "_two")
+    kind = F.when(F.col("_one").isNotNull(), "exact").when(F.col("_two").isNotNull(), "group").otherwise("none")
+    return rows.select(*left.columns, *(chosen[c].alias(c) for c in columns if c not in left.columns), kind.alias("match"))
+
+
 def symmetric_difference(a: DataFrame, b: DataFrame, side: str = "side") -> DataFrame:
     """Rows that only one of the two has, and which."""
     return a.exceptAll(b).withColumn(side, F.lit("a")).unionByName(b.exceptAll(a).withColumn(side, F.lit("b")))

@@ -19,9 +19,10 @@ def adjacency(edges: DataFrame, types: tuple[str, ...] = (DATA_FLOW, CALLS)) ->
     return held.groupBy("src", "dst").agg(F.min("seq").alias("pos"), F.min_by("edge_type", "seq").alias("etype"))
 
 
-def _levels(starts: DataFrame, adj: DataFrame, sinks: DataFrame, max_nodes: int, stop_at_sinks: bool) -> list[DataFrame]:
+def _levels(starts: DataFrame, adj: DataFrame, sinks: DataFrame, max_nodes: int, stop_at_sinks: bool, owners: DataFrame | None = None) -> list[DataFrame]:
     """starts(source, node, rank). Level tables (source, node, rank, path, etypes, fresh, sink, parent_rank, pos); fresh
-    rows are those that enter the queue, the others are sinks that were seen before."""
+    rows are those that enter the queue, the others are sinks that were seen before. With owners(node, owner), a source
+    doesn't enter a node whose owner is smaller."""
     marks = durable(sinks.select(F.col("node_id").alias("node"), F.lit(True).alias("sink")).distinct(), "sinks")
     adj = durable(adj, "adjacency")  # every level reads them; their own plans run once
     first = starts.join(marks, "node", "left").select(
@@ -35,14 +36,16 @@ def _levels(starts: DataFrame, adj: DataFrame, sinks: DataFrame, max_nodes: int,
         last = levels[-1].where("fresh")
         if stop_at_sinks:
             last = last.where("not sink or node = source")
-        by = Window.partitionBy("source", "node").orderBy("parent_rank", "pos")
+        by = Window.partitionBy("source", "node").orderBy("parent_rank", "pos", "before")
         ahead = last.where(F.size("path") <= max_nodes).join(out, "node").select(
             "source", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"), F.concat("etypes", F.array("etype")).alias("etypes"),
-            F.col("rank").cast("bigint").alias("parent_rank"), F.col("_pos").cast("bigint").alias("pos"),
+            F.col("rank").cast("bigint").alias("parent_rank"), F.col("_pos").cast("bigint").alias("pos"), F.col("node").alias("before"),
         )
+        if owners is not None:
+            ahead = ahead.join(owners, "node", "left").where("owner is null or owner >= source").drop("owner")
         ahead = ahead.withColumn("_first", F.row_number().over(by)).join(seen.withColumn("_seen", F.lit(True)), ["source", "node"], "left").join(marks, "node", "left")
         ahead = ahead.withColumn("fresh", (F.col("_first") == 1) & F.col("_seen").isNull()).withColumn("sink", F.coalesce("sink", F.lit(False))).where("fresh or (sink and node <> source)")
-        rank = F.row_number().over(Window.partitionBy("source", "fresh").orderBy("parent_rank", "pos")).cast("int")
+        rank = F.row_number().over(Window.partitionBy("source", "fresh").orderBy("parent_rank", "pos", "node")).cast("int")
         level = durable(ahead.select("source", "node", rank.alias("rank"), "path", "etypes", "fresh", "sink", "parent_rank", "pos"), "level")
         levels.append(level)
         if level.where("fresh").isEmpty():
@@ -71,21 +74,32 @@ def taint_paths(sources: DataFrame, sinks: DataFrame, edges: DataFrame, max_node
 
 
 def find_path(sources: DataFrame, sinks: DataFrame, edges: DataFrame, max_depth: int = MAX_NODES, limit: int = 20) -> DataFrame:
-    """(source, sink, path, etypes, hops): at most ``limit`` paths, shortest first, with a visited set that all sources
-    share: a node belongs to the first source (by id) that reaches it. Search ends at sinks."""
+    """(source, sink, path, etypes, hops): the first ``limit`` paths of at most max_depth nodes, shortest first.
+
+    Sources are searched in the order of their ids with one visited set: what a source has entered no later one enters.
+    Search ends at sinks. To search them side by side, every node gets the first source that enters it as its owner, and
+    all are searched again, kept off what others own, until the owners stay the same. Each round settles at least
+    the next source, and the result is that of the search one after the other."""
     starts = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(1).alias("rank")).distinct()
-    levels = _levels(starts, adjacency(edges), sinks, max_depth, True)
-    reached = None
-    for level in levels:
-        one = level.where("fresh").select("source", "node", "path", "etypes", "sink", "rank")
-        reached = one if reached is None else reached.unionByName(one)
-    owner = Window.partitionBy("node").orderBy("source")
-    own = reached.withColumn("_n", F.row_number().over(owner)).where("_n = 1")
-    # a path counts if its source owns every node on it
-    steps = reached.where("sink and node <> source").select("source", "node", "path", "etypes", F.explode("path").alias("on"))
-    held = steps.join(own.select(F.col("source").alias("_s"), F.col("node").alias("on")), "on")
-    whole = held.groupBy("source", F.col("node").alias("sink"), "path", "etypes").agg(F.min(F.col("_s") == F.col("source")).alias("ok")).where("ok")
-    return whole.select("source", "sink", "path", "etypes", (F.size("path") - 1).alias("hops")).orderBy("hops", "source", "sink").limit(limit)
+    adj = durable(adjacency(edges), "adjacency")
+    owners, before = None, None
+    while True:
+        levels = _levels(starts, adj, sinks, max_depth, True, owners)
+        entered = None
+        for level in levels:
+            one = level.where("fresh").select("source", "node")
+            entered = one if entered is None else entered.unionByName(one)
+        owners = durable(entered.groupBy("node").agg(F.min("source").alias("owner")), "owners")
+        now = tuple(owners.agg(F.count("*"), F.sum(F.xxhash64("node", "owner").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    found = None
+    for k, level in enumerate(levels):
+        one = level.where(f"fresh and sink and node <> source and size(path) <= {max_depth}").select("source", F.col("node").alias("sink"), "path", "etypes", F.lit(k).alias("_level"), "rank")
+        found = one if found is None else found.unionByName(one)
+    first = found.orderBy("source", "_level", "rank").limit(limit)
+    return first.withColumn("hops", F.size("path") - 1).orderBy("hops", "source", "_level", "rank").select("source", "sink", "path", "etypes", "hops")
 
 
 def trace(starts: DataFrame, edges: DataFrame, depth: int = 15, backward: bool = False, types: tuple[str, ...] = (DATA_FLOW, CALLS)) -> DataFrame:
@@ -112,5 +126,5 @@ def call_chain(start: str, end: str, edges: DataFrame, max_depth: int = 20) -> D
 
 
 def reachable_blocks(start: DataFrame, cfg_edges: DataFrame, depth: int = 200) -> DataFrame:
-    """(node_id, depth) of all blocks that control can reach from start(node_id), itself included."""
+    """(node_id, depth) of the blocks that control can reach from start(node_id) by at most ``depth`` edges, start included."""
     return trace(start, cfg_edges.withColumn("edge_type", F.lit(CTRL_FLOW)).withColumn("seq", F.lit(0)), depth, types=(CTRL_FLOW,))

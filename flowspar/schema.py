@@ -21,7 +21,11 @@ CWE = dict(
     for pair in "auth_bypass=CWE-287 code_injection=CWE-94 command_injection=CWE-78 crypto_weakness=CWE-327 deserialization=CWE-502 jndi_injection=CWE-917 open_redirect=CWE-601 path_traversal=CWE-22 sql_injection=CWE-89 ssrf=CWE-918 ssti=CWE-1336 xss=CWE-79 xxe=CWE-611".split()
 )
 
-TITLES = {"sql_injection": "SQL injection", "xss": "cross-site scripting", "ssrf": "server-side request forgery", "ssti": "template injection", "xxe": "XML external entity"}
+TITLES = {c: c.replace("_", " ") for c in SEVERITY} | {
+    "sql_injection": "SQL injection", "xss": "cross-site scripting", "ssrf": "server-side request forgery", "ssti": "template injection", "xxe": "XML external entity", "ldap_injection": "LDAP injection",
+    "nosql_injection": "NoSQL injection", "xpath_injection": "XPath injection", "jndi_injection": "JNDI injection", "path_traversal": "path traversal", "deserialization": "unsafe deserialization",
+    "auth_bypass": "authentication bypass", "info_disclosure": "information disclosure", "injection_general": "untrusted input", "secure_cookie": "insecure cookie", "weak_randomness": "weak random numbers",
+}
 
 FUNCTIONS = "file_path string, name string, start_line int, end_line int, class_name string, is_method boolean, params array<string>, decorators array<string>, signature string, source string"
 CLASSES = "file_path string, name string, start_line int, end_line int, bases array<string>, decorators array<string>"
@@ -42,3 +46,7 @@ ENDPOINTS = (
     "route string, methods array<string>, handler string, file_path string, line int, params array<struct<name:string,source:string,type_hint:string,required:boolean>>, "
     "auth_required boolean, auth_decorators array<string>, framework string, source_lines array<string>"
 )
+ENDPOINT_BODY = (
+    "route string, methods array<string>, params array<struct<name:string,source:string,type_hint:string,required:boolean>>, auth_required boolean, "
+    "auth_decorators array<string>, framework string, source_lines array<string>"
+)

@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from flowspar.functions import text as T
 
 
+_GLOB = "*.{py,pyi,js,jsx,mjs,cjs,java,PY,JS,JAVA,yml,yaml,json}"
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content, language) of every source file below root, path relative to it, without hidden parts."""
-    base = root.rstrip("/")
+    """(path, content, language) of every source file below root, path relative to it, without hidden parts. OpenAPI
+    documents (openapi*, swagger*, or below openapi_specs/) have the language 'openapi'. Other names are never opened."""
+    base = root.rstrip("/") or "/"
     at = base if "://" in base else "file:" + base
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(F.regexp_replace("path", r"^file:/+", "file:/").alias("full"), "content")
-    rel = F.substring(F.col("full"), len(at) + 2, 1 << 20)
-    return files.withColumn("path", rel).withColumn("language", T.language("path")).where(F.col("language").isNotNull() & ~T.hidden("path")).select("path", "content", "language")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _GLOB).load(base).select(F.regexp_replace("path", r"^file:/+", "file:/").alias("full"), "content")
+    rel = files.withColumn("path", F.substring(F.col("full"), len(at) + 2, 1 << 20))
+    spec = F.lower("path").rlike(r"(^|/)((openapi|swagger)[^/]*|openapi_specs/[^/]+)\.(ya?ml|json)$")
+    named = rel.withColumn("language", F.when(spec, "openapi").otherwise(T.language("path")))
+    return named.where(F.col("language").isNotNull() & ~T.hidden("path")).select("path", "content", "language")
 
 
 def dominant(files: DataFrame) -> str:
