@@ -89,3 +89,25 @@ def dominance(blocks: DataFrame, cfg_edges: DataFrame) -> DataFrame:
 
     own = cfg_edges.select(F.col("fn").alias("_f"), "src", "dst").withColumnRenamed("_f", "fn")  # both may come from one table
     return blocks.groupBy("fn").cogroup(own.groupBy("fn")).applyInPandas(run, "fn string, relation string, a string, b string")
+
+
+def reachable(start: DataFrame, cfg_edges: DataFrame, depth: int = 200) -> DataFrame:
+    """(fn, block_id, depth): the blocks that control can reach from start(fn, block_id) by at most ``depth`` edges of
+    cfg_edges(fn, src, dst), start included (G6). Edges don't leave a function, so each is searched as a group."""
+
+    def run(b: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        succ: dict[str, list[str]] = {}
+        for x, y in zip(e.src, e.dst):
+            succ.setdefault(x, []).append(y)
+        found = dict.fromkeys(b.block_id, 0)
+        last = list(found)
+        for d in range(1, depth + 1):
+            last = [y for y in dict.fromkeys(y for x in last for y in succ.get(x, ())) if y not in found]
+            if not last:
+                break
+            found.update(dict.fromkeys(last, d))
+        fn = b.fn.iloc[0] if len(b) else None
+        return pd.DataFrame([(fn, k, v) for k, v in found.items()], columns=["fn", "block_id", "depth"])
+
+    own = cfg_edges.select(F.col("fn").alias("_f"), "src", "dst").withColumnRenamed("_f", "fn")
+    return start.groupBy("fn").cogroup(own.groupBy("fn")).applyInPandas(run, "fn string, block_id string, depth int")

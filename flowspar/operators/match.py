@@ -13,6 +13,11 @@ def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def earliest(df: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
+    """The value of each key's first row by ``order``."""
+    return df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(name))
+
+
 def last_wins(df: DataFrame, keys: list[str], values: list[str], order: list[str]) -> DataFrame:
     """One row for each key, with the values of its last row by ``order`` (ties: the largest values)."""
     simple = [c for c in values if not dict(df.dtypes)[c].startswith("map")]
@@ -42,9 +47,10 @@ def in_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, st
     return each.join(wide, [*keys, "_level", "_bucket"]).where(held).drop("_level", "_bucket")
 
 
-def smallest_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, ties: list[str], point_keys: list[str], bucket: int | None = None) -> DataFrame:
-    """For each point (told by point_keys) the narrowest span that holds it; ties by the given columns."""
+def smallest_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, ties: list[str], point_keys: list[str], bucket: int | None = None, where: Column | None = None) -> DataFrame:
+    """For each point (told by point_keys) the narrowest span that holds it (and meets ``where``); ties by the given columns."""
     joined = in_span(points, spans, keys, point, start, end, bucket)
+    joined = joined if where is None else joined.where(where)
     return first_by(joined, point_keys, [F.col(end) - F.col(start), *ties])
 
 
@@ -59,11 +65,6 @@ def tiers(left: DataFrame, right: DataFrame, left_key: list[str], conditions: li
     return out
 
 
-def best_tier(left: DataFrame, right: DataFrame, on: Column, left_key: list[str], rank: Column, order: list) -> DataFrame:
-    """Left join that keeps the best match of each left row: least rank, then order. Rows without a match stay."""
-    return first_by(left.join(right, on, "left").withColumn("_rank", rank), left_key, [F.asc_nulls_last("_rank"), *order]).drop("_rank")
-
-
 def exact_or_first(left: DataFrame, right: DataFrame, left_key: list[str], exact: list[str], group: list[str], order: list[str], columns: list[str]) -> DataFrame:
     """Left join in tiers: the first right row (by ``order``) with the same ``exact`` keys, else the first of the same
     ``group``, else none; ``match`` says which ('exact', 'group', 'none'). Right rows are ranked before they are joined, so

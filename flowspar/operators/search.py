@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowspar.schema import CALLS, CTRL_FLOW, DATA_FLOW, MAX_NODES, PER_PAIR
-from flowspar.sources.durable import durable
+from flowspar.schema import CALLS, DATA_FLOW, MAX_NODES, PER_PAIR
+from flowspar.sources.durable import durable, place
 
 
 def adjacency(edges: DataFrame, types: tuple[str, ...] = (DATA_FLOW, CALLS)) -> DataFrame:
@@ -29,11 +29,18 @@ def _levels(starts: DataFrame, adj: DataFrame, sinks: DataFrame, max_nodes: int,
         "source", "node", "rank", F.array("node").alias("path"), F.array().cast("array<string>").alias("etypes"), F.lit(True).alias("fresh"),
         F.coalesce("sink", F.lit(False)).alias("sink"), F.lit(-1).cast("bigint").alias("parent_rank"), F.lit(-1).cast("bigint").alias("pos"),
     )
-    levels = [durable(first, "level")]
-    seen = levels[0].select("source", "node")
+    held = place(starts.sparkSession, "levels")
+
+    def keep(df: DataFrame, k: int) -> DataFrame:
+        df.write.parquet(f"{held}/level={k}")
+        return starts.sparkSession.read.schema(df.schema).parquet(f"{held}/level={k}")
+
+    levels = [keep(first, 0)]
+    whole = "source string, node string, fresh boolean, level int"
     out = adj.select(F.col("src").alias("node"), F.col("dst"), F.col("pos").alias("_pos"), "etype")
-    for _ in range(max_nodes):
+    for k in range(1, max_nodes + 1):
         last = levels[-1].where("fresh")
+        seen = starts.sparkSession.read.schema(whole).parquet(held).where("fresh").select("source", "node")
         if stop_at_sinks:
             last = last.where("not sink or node = source")
         by = Window.partitionBy("source", "node").orderBy("parent_rank", "pos", "before")
@@ -46,11 +53,10 @@ def _levels(starts: DataFrame, adj: DataFrame, sinks: DataFrame, max_nodes: int,
         ahead = ahead.withColumn("_first", F.row_number().over(by)).join(seen.withColumn("_seen", F.lit(True)), ["source", "node"], "left").join(marks, "node", "left")
         ahead = ahead.withColumn("fresh", (F.col("_first") == 1) & F.col("_seen").isNull()).withColumn("sink", F.coalesce("sink", F.lit(False))).where("fresh or (sink and node <> source)")
         rank = F.row_number().over(Window.partitionBy("source", "fresh").orderBy("parent_rank", "pos", "node")).cast("int")
-        level = durable(ahead.select("source", "node", rank.alias("rank"), "path", "etypes", "fresh", "sink", "parent_rank", "pos"), "level")
+        level = keep(ahead.select("source", "node", rank.alias("rank"), "path", "etypes", "fresh", "sink", "parent_rank", "pos"), k)
         levels.append(level)
         if level.where("fresh").isEmpty():
             break
-        seen = seen.unionByName(level.where("fresh").select("source", "node"))
     return levels
 
 
@@ -104,17 +110,18 @@ def find_path(sources: DataFrame, sinks: DataFrame, edges: DataFrame, max_depth:
 
 def trace(starts: DataFrame, edges: DataFrame, depth: int = 15, backward: bool = False, types: tuple[str, ...] = (DATA_FLOW, CALLS)) -> DataFrame:
     """(node_id, depth): all nodes within ``depth`` edges of starts(node_id), forward or backward, with their least depth."""
-    held = adjacency(edges, types)
-    adj = durable(held.select("src", "dst") if not backward else held.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "adjacency")
-    last = durable(starts.select("node_id", F.lit(0).alias("depth")).distinct(), "trace")
-    found = last
+    spark = starts.sparkSession
+    step = edges.where(F.col("edge_type").isin(*types)).select(*((F.col("src"), F.col("dst")) if not backward else (F.col("dst").alias("src"), F.col("src").alias("dst")))).distinct()
+    adj = durable(step, "adjacency")
+    held = place(spark, "trace")
+    read = lambda path: spark.read.schema("node_id string, depth int").parquet(path)
+    starts.select(F.col("node_id").cast("string").alias("node_id"), F.lit(0).alias("depth")).distinct().write.parquet(f"{held}/level=0")
     for d in range(1, depth + 1):
-        step = last.join(adj, F.col("node_id") == F.col("src")).select(F.col("dst").alias("node_id"), F.lit(d).alias("depth")).distinct()
-        last = durable(step.join(found, "node_id", "left_anti"), "trace")
-        if last.isEmpty():
+        ahead = read(f"{held}/level={d - 1}").join(adj, F.col("node_id") == F.col("src")).select(F.col("dst").alias("node_id"), F.lit(d).alias("depth")).distinct()
+        ahead.join(read(held), "node_id", "left_anti").write.parquet(f"{held}/level={d}")
+        if read(f"{held}/level={d}").isEmpty():
             break
-        found = found.unionByName(last)
-    return found
+    return read(held)
 
 
 def call_chain(start: str, end: str, edges: DataFrame, max_depth: int = 20) -> DataFrame:
@@ -123,8 +130,3 @@ def call_chain(start: str, end: str, edges: DataFrame, max_depth: int = 20) -> D
     one = lambda n: spark.createDataFrame([(n,)], "node_id string")
     calls = edges.where(F.col("edge_type") == CALLS)
     return taint_paths(one(start), one(end), calls, max_depth, 1).select("path", "hops")
-
-
-def reachable_blocks(start: DataFrame, cfg_edges: DataFrame, depth: int = 200) -> DataFrame:
-    """(node_id, depth) of the blocks that control can reach from start(node_id) by at most ``depth`` edges, start included."""
-    return trace(start, cfg_edges.withColumn("edge_type", F.lit(CTRL_FLOW)).withColumn("seq", F.lit(0)), depth, types=(CTRL_FLOW,))

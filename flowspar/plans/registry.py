@@ -14,7 +14,9 @@ from flowspar.operators import findings as N
 from flowspar.operators import label as L
 from flowspar.operators import match as M
 from flowspar.operators import search as G
-from flowspar.operators.dominance import dominance
+from flowspar.operators.dominance import dominance, reachable
+from flowspar.plans import code_queries
+from flowspar.plans.graph import reference_chains, state_edges
 from flowspar.sources.durable import durable
 from flowspar.sources.tables import read
 
@@ -33,11 +35,11 @@ def query(sql: str | None):
 
 
 def queries() -> dict:
-    return dict(_QUERIES)
+    return {**_QUERIES, **code_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **code_queries.SQL}
 
 
 # --- the event graph: an edge from each event to the user's next; signups are sources, purchases sinks
@@ -132,13 +134,33 @@ def call_chain(spark, d):
     return paths.select(F.substring_index("source", ":", 1).cast("bigint").alias("conv_id"), "hops")
 
 
-@query("""WITH li AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem),
-p AS (SELECT l_orderkey, l_suppkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_partkey) AS n FROM li)
-SELECT l_orderkey AS orderkey, l_suppkey AS suppkey, l_partkey AS partkey, n::INT AS nth FROM p WHERE n <= 5""")
+_STEPS = "s AS (SELECT c_nationkey, c_mktsegment, c_custkey, row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_custkey) AS rn, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer)"
+
+
+def _nation_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nations, segments, edges): nation -> customer -> market segment, successors by customer key."""
+    c = read(spark, d, "customer")
+    nation, customer, segment = F.format_string("n%02d", "c_nationkey"), F.format_string("c%d", "c_custkey"), F.concat(F.lit("s"), "c_mktsegment")
+    one = lambda a, b: c.select(a.alias("src"), b.alias("dst"), F.lit("DATA_FLOW").alias("edge_type"), F.col("c_custkey").alias("seq"))
+    ids = lambda a: c.select(a.alias("node_id")).distinct()
+    return ids(nation), ids(segment), one(nation, customer).unionByName(one(customer, segment))
+
+
+@query(f"WITH {_STEPS} SELECT c_nationkey AS nation, c_mktsegment AS segment, c_custkey AS custkey FROM s WHERE CASE WHEN n <= 5 THEN true ELSE rn BETWEEN 2 AND 6 END")
 def paths_per_pair(spark, d):
-    """At most five paths for each pair, on the graph order -> part -> supplier."""
-    li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct()
-    return li.withColumn("nth", F.row_number().over(Window.partitionBy("l_orderkey", "l_suppkey").orderBy("l_partkey"))).where("nth <= 5").select(F.col("l_orderkey").alias("orderkey"), F.col("l_suppkey").alias("suppkey"), F.col("l_partkey").alias("partkey"), "nth")
+    """A branching graph. A sink that is queued already is recorded again at once, and itself only when it is
+    popped; so of more than five ways the second to the sixth are kept."""
+    nations, segments, edges = _nation_graph(spark, d)
+    paths = G.taint_paths(nations, segments, edges)
+    return paths.select(F.substring("source", 2, 9).cast("int").alias("nation"), F.substring("sink", 2, 99).alias("segment"), F.substring(F.col("path")[1], 2, 20).cast("bigint").alias("custkey"))
+
+
+@query(f"WITH {_STEPS} SELECT c_nationkey AS nation, c_mktsegment AS segment, c_custkey AS custkey, 2 AS hops FROM s WHERE rn = 1 AND c_nationkey = (SELECT min(c_nationkey) FROM customer c WHERE c.c_mktsegment = s.c_mktsegment)")
+def find_path(spark, d):
+    """One visited set for all sources: the first nation that gets to a segment takes it."""
+    nations, segments, edges = _nation_graph(spark, d)
+    paths = G.find_path(nations, segments, edges)
+    return paths.select(F.substring("source", 2, 9).cast("int").alias("nation"), F.substring("sink", 2, 99).alias("segment"), F.substring(F.col("path")[1], 2, 20).cast("bigint").alias("custkey"), "hops")
 
 
 @query(f"WITH {_PAIRS}, c AS (SELECT a, b, hops, row_number() OVER (PARTITION BY hops ORDER BY a, b) AS n FROM p) SELECT a AS source_id, b AS sink_id, hops FROM c WHERE n <= 50")
@@ -160,8 +182,8 @@ def truncated_by_category(spark, d):
 
 def page_rules(spark: SparkSession) -> DataFrame:
     rows = [
-        ("sources", "tracking", "utm_source", 0), ("sources", "tracking", "track(", 1), ("sources", "query", "?page=", 2), ("sinks", "markup", "<script", 0), ("sinks", "markup", "<nav", 1),
-        ("sinks", "anchor", "<a href", 2), ("sinks", "meta", "<meta charset", 3), ("sink_excludes", "", r"<b>\w+%%%", 0), ("sanitizers", "escape", "&amp;", 0),
+        ("sources", "tracking", 'lang="es"', 0), ("sources", "tracking", "utm_source", 1), ("sources", "query", 'lang="fr"', 2), ("sinks", "markup", "<script", 0), ("sinks", "markup", '<a href="/and"', 1),
+        ("sinks", "anchor", '<a href="/the"', 2), ("sinks", "meta", '<a href="/of"', 3), ("sink_excludes", "", r"<b>\w+%%%", 0), ("sanitizers", "escape", "&amp;", 0),
     ]
     return spark.createDataFrame(rows, "section string, category string, pattern string, ord int")
 
@@ -170,34 +192,33 @@ def page_nodes(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "pages").select(F.col("page_id"), F.format_string("p%d", "page_id").alias("node_id"), F.lit("assignment").alias("node_type"), F.col("html").alias("text"), "url")
 
 
-_RULES = "r(section, category, pattern, ord) AS (VALUES ('sources','tracking','utm_source',0),('sources','tracking','track(',1),('sources','query','?page=',2),('sinks','markup','<script',0),('sinks','markup','<nav',1),('sinks','anchor','<a href',2),('sinks','meta','<meta charset',3))"
+_RULES = "r(section, category, pattern, ord) AS (VALUES ('sinks','markup','<script',0),('sinks','markup','<a href=\"/and\"',1),('sinks','anchor','<a href=\"/the\"',2),('sinks','meta','<a href=\"/of\"',3))"
 
 
 @query(f"WITH {_RULES} SELECT page_id, string_agg(DISTINCT category, ',' ORDER BY category) AS categories FROM pages JOIN r ON section = 'sinks' AND contains(html, pattern) GROUP BY page_id")
 def rule_label_pages(spark, d):
     """Substring theta-join with the rules, categories as a sorted set."""
-    n = page_nodes(spark, d)
-    c = L.categories(n, page_rules(spark), "sinks")
-    return n.join(c, "text").select("page_id", F.array_join("categories", ",").alias("categories"))
+    n = L.with_matches(page_nodes(spark, d), page_rules(spark), "sinks").where("size(_m) > 0")
+    return n.select("page_id", F.array_join(L.category_set(), ",").alias("categories"))
 
 
 @query(f"WITH {_RULES}, m AS (SELECT page_id, category, pattern, row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, category, ord) AS n FROM pages JOIN r ON section = 'sinks' AND contains(html, pattern)) SELECT page_id, category, pattern FROM m WHERE n = 1")
 def label_longest(spark, d):
     """The longest pattern wins."""
-    n = page_nodes(spark, d)
-    return n.join(L.longest(n, page_rules(spark), "sinks"), "text").select("page_id", "category", "pattern")
+    n = L.with_matches(page_nodes(spark, d), page_rules(spark), "sinks").where("size(_m) > 0").withColumn("best", L.longest())
+    return n.select("page_id", "best.category", "best.pattern")
 
 
 @query("SELECT page_id FROM pages WHERE contains(html, '<script') AND NOT regexp_matches(html, '<b>[0-9A-Za-z_]+%%%')")
 def label_exclude(spark, d):
     """Sinks without those that an exclusion is found in."""
     n = page_nodes(spark, d).where(F.contains("text", F.lit("<script")))
-    return n.join(L.excluded(n, page_rules(spark)), "text", "left_anti").select("page_id")
+    return L.with_excluded(n, page_rules(spark)).where("not _out").select("page_id")
 
 
-@query("SELECT page_id, CASE WHEN contains(html, 'utm_source') OR contains(html, 'track(') OR contains(html, '?page=') THEN 'source' WHEN (contains(html, '<script') OR contains(html, '<nav') OR contains(html, '<a href') OR contains(html, '<meta charset')) AND NOT regexp_matches(html, '<b>[0-9A-Za-z_]+%%%') THEN 'sink' ELSE 'none' END AS label FROM pages")
+@query("SELECT page_id, CASE WHEN contains(html, 'lang=\"es\"') OR contains(html, 'utm_source') OR contains(html, 'lang=\"fr\"') THEN 'source' WHEN contains(html, '<script') AND NOT regexp_matches(html, '<b>[0-9A-Za-z_]+%%%') THEN 'sink' ELSE 'none' END AS label FROM pages")
 def source_priority(spark, d):
-    """A node with a source label gets no sink label."""
+    """A node with a source label gets no sink label, and an excluded one none."""
     n = L.label_nodes(page_nodes(spark, d), page_rules(spark))
     return n.select("page_id", F.when(F.col("taint_source").isNotNull(), "source").when(F.col("taint_sink").isNotNull(), "sink").otherwise("none").alias("label"))
 
@@ -211,27 +232,27 @@ def word_boundary_docs(spark, d):
 @query("SELECT page_id FROM pages WHERE contains(html, '&amp;')")
 def sanitizer_match(spark, d):
     """Sanitizers."""
-    n = page_nodes(spark, d)
-    return n.join(L.match_all(n, page_rules(spark), "sanitizers").select("text").distinct(), "text", "left_semi").select("page_id")
+    return L.with_matches(page_nodes(spark, d), page_rules(spark), "sanitizers").where("size(_m) > 0").select("page_id")
 
 
-@query("SELECT page_id FROM pages WHERE contains(url, 'ref=x') OR contains(html, 'ref=x') ORDER BY page_id LIMIT 200")
+@query("""SELECT page_id FROM pages WHERE contains(url, '<a href="/and"') OR contains(html, '<a href="/and"') ORDER BY page_id LIMIT 200""")
 def attribute_search(spark, d):
     """P10: substring search in any attribute, at most 200 (the operator's limit)."""
     n = page_nodes(spark, d).withColumn("node_id", F.format_string("p%012d", "page_id"))
-    return L.search_nodes(n, "ref=x", ["text", "url"]).select("page_id")
+    return L.search_nodes(n, '<a href="/and"', ["text", "url"]).select("page_id")
 
 
 # --- joins
 
 
-@query("""SELECT o_orderkey, count(*) AS events FROM orders JOIN events ON user_id = o_custkey % 150 AND datediff('day', o_orderdate, ts) BETWEEN -30 AND 30 GROUP BY o_orderkey""")
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch(ts)::BIGINT AS at, (epoch(ts)::BIGINT + (1 + event_id % 5) * (1 + event_id % 7) * 3600 * (1 + 20 * (event_id % 11 = 0)::INT)) AS until FROM events)
+SELECT s.event_id, count(*) AS events FROM e s JOIN e p ON p.user_id = s.user_id AND p.at BETWEEN s.at AND s.until WHERE s.event_type = 'signup' GROUP BY s.event_id""")
 def span_join(spark, d):
-    """Points in spans of the same key, joined by buckets."""
-    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1970-01-01").cast("date"))
-    o = read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 150).alias("user_id"), (day("o_orderdate") - 30).alias("s"), (day("o_orderdate") + 30).alias("e"))
-    e = read(spark, d, "events").select("event_id", "user_id", day("ts").alias("at"))
-    return M.in_span(e, o, ["user_id"], "at", "s", "e", 30).groupBy("o_orderkey").agg(F.count("*").alias("events"))
+    """Points in spans of the same key, of very different widths, joined by buckets."""
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    hours = F.expr("(1 + event_id % 5) * (1 + event_id % 7) * (1 + 20 * cast(event_id % 11 = 0 as int))")
+    spans = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("at").alias("s"), (F.col("at") + hours * 3600).alias("e"))
+    return M.in_span(e.select("user_id", "at"), spans, ["user_id"], "at", "s", "e", 3600).groupBy("event_id").agg(F.count("*").alias("events"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size, p_retailprice - p_size AS a, p_retailprice + p_size AS b, p_brand FROM part),
@@ -241,8 +262,8 @@ def smallest_span(spark, d):
     """The narrowest span that holds a point."""
     p = read(spark, d, "part")
     spans = p.select(F.col("p_partkey").alias("span_key"), "p_brand", (F.col("p_retailprice") - F.col("p_size")).alias("a"), (F.col("p_retailprice") + F.col("p_size")).alias("b"))
-    rows = M.in_span(p.select("p_partkey", "p_brand", "p_retailprice"), spans, ["p_brand"], "p_retailprice", "a", "b", 50).where("span_key <> p_partkey")
-    return M.first_by(rows, ["p_partkey"], [F.col("b") - F.col("a"), "span_key"]).select("p_partkey", "span_key")
+    rows = M.smallest_span(p.select("p_partkey", "p_brand", "p_retailprice"), spans, ["p_brand"], "p_retailprice", "a", "b", ["span_key"], ["p_partkey"], 50, F.col("span_key") != F.col("p_partkey"))
+    return rows.select("p_partkey", "span_key")
 
 
 @query("""WITH c AS (SELECT c_custkey, c_nationkey, regexp_extract(c_name, '([0-9]+)$', 1)::BIGINT AS cn FROM customer), s AS (SELECT s_suppkey, s_nationkey, regexp_extract(s_name, '([0-9]+)$', 1)::BIGINT AS sn FROM supplier),
@@ -258,18 +279,16 @@ def three_tier_match(spark, d):
     return M.tiers(c, s, ["c_custkey"], on, [F.col("s_suppkey")])
 
 
-@query("""WITH j AS (SELECT l.doc_id, b.doc_id AS linked, CASE WHEN b.doc_id = l.doc_id + 1 THEN 'exact' WHEN b.doc_id IS NOT NULL THEN 'file' ELSE 'none' END AS match,
-row_number() OVER (PARTITION BY l.doc_id ORDER BY CASE WHEN b.doc_id = l.doc_id + 1 THEN 0 WHEN b.doc_id IS NOT NULL THEN 1 END NULLS LAST, b.doc_id) AS n
-FROM labels l JOIN documents a ON a.doc_id = l.doc_id LEFT JOIN documents b ON b.source = a.source AND b.lang = a.lang AND b.doc_id > a.doc_id) SELECT doc_id, linked, match FROM j WHERE n = 1""")
+@query("""WITH e AS (SELECT l.doc_id, b.doc_id AS linked FROM labels l JOIN documents a ON a.doc_id = l.doc_id JOIN documents b ON b.source = a.source AND b.lang = a.lang AND b.doc_id = l.doc_id + 7),
+g AS (SELECT source, lang, min(doc_id) AS linked FROM documents WHERE n_chars < 2000 OR doc_id % 7 = 0 GROUP BY source, lang)
+SELECT l.doc_id, coalesce(e.linked, g.linked) AS linked, CASE WHEN e.linked IS NOT NULL THEN 'exact' WHEN g.linked IS NOT NULL THEN 'group' ELSE 'none' END AS match
+FROM labels l JOIN documents a ON a.doc_id = l.doc_id LEFT JOIN (SELECT e.* FROM e JOIN documents d ON d.doc_id = e.linked WHERE d.n_chars < 2000 OR d.doc_id % 7 = 0) e ON e.doc_id = l.doc_id LEFT JOIN g ON g.source = a.source AND g.lang = a.lang""")
 def tiered_link(spark, d):
-    """Exact match, else the first of the same file, else none."""
-    docs = read(spark, d, "documents").select("doc_id", "source", "lang")
-    left = read(spark, d, "labels").select("doc_id").join(docs, "doc_id")
-    right = docs.select(F.col("doc_id").alias("linked"), F.col("source").alias("_s"), F.col("lang").alias("_l"))
-    exact = F.col("linked") == F.col("doc_id") + 1
-    rank = F.when(exact, 0).when(F.col("linked").isNotNull(), 1)
-    rows = M.best_tier(left, right, (F.col("_s") == F.col("source")) & (F.col("_l") == F.col("lang")) & (F.col("linked") > F.col("doc_id")), ["doc_id"], rank, ["linked"])
-    return rows.select("doc_id", "linked", F.when(exact, "exact").when(F.col("linked").isNotNull(), "file").otherwise("none").alias("match"))
+    """Exact match, else the first of the same group, else none."""
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    left = read(spark, d, "labels").select("doc_id").join(docs, "doc_id").select("doc_id", "source", "lang", (F.col("doc_id") + 7).alias("at"))
+    right = docs.where("n_chars < 2000 or doc_id % 7 = 0").select(F.col("doc_id").alias("linked"), F.col("doc_id").alias("at"), "source", "lang")
+    return M.exact_or_first(left, right, ["doc_id"], ["source", "lang", "at"], ["source", "lang"], ["linked"], ["linked"]).select("doc_id", "linked", "match")
 
 
 @query("""SELECT e.event_id FROM events e WHERE event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events f WHERE f.event_type = 'purchase' AND f.user_id = e.user_id AND f.ts::DATE = e.ts::DATE)""")
@@ -283,25 +302,32 @@ def alias_suppress(spark, d):
 
 @query("""SELECT s_suppkey, s_name FROM supplier WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey = s_suppkey AND o_orderpriority LIKE '1%' AND l_quantity > 49)""")
 def exposed_no_source(spark, d):
-    """Endpoints for which no labelled source exists (anti-join)."""
+    """Endpoints whose handler has no labelled source."""
     urgent = read(spark, d, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("l_orderkey"))
-    held = read(spark, d, "lineitem").where("l_quantity > 49").select("l_orderkey", F.col("l_suppkey").alias("s_suppkey")).join(urgent, "l_orderkey", "left_semi")
-    return read(spark, d, "supplier").join(held, "s_suppkey", "left_anti").select("s_suppkey", "s_name")
+    held = read(spark, d, "lineitem").where("l_quantity > 49").join(urgent, "l_orderkey", "left_semi")
+    nodes = held.select(F.lit("shop").alias("file_path"), F.col("l_suppkey").cast("string").alias("function"), F.array(F.lit("injection_general")).alias("taint_source"))
+    ends = read(spark, d, "supplier").select(F.lit("shop").alias("file_path"), F.col("s_suppkey").cast("string").alias("handler"), F.col("s_name").alias("route"), F.array().cast("array<string>").alias("methods"), F.lit(1).alias("line"))
+    return N.exposed_without_source(ends, nodes).select(F.col("handler").cast("long").alias("s_suppkey"), F.col("route").alias("s_name"))
 
 
-@query("""SELECT w.event_id AS write_id, r.event_id AS read_id FROM events w JOIN events r ON w.user_id = r.user_id AND w.event_id <> r.event_id AND (w.value < 1 OR r.value < 1 OR floor(w.value) = floor(r.value)) WHERE w.event_type = 'signup' AND r.event_type = 'view'""")
+@query("""WITH e AS (SELECT *, 'k' || (floor(value)::BIGINT % 7) AS slot, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 'A' ELSE 'B' END AS scope FROM events)
+SELECT w.event_id AS write_id, r.event_id AS read_id FROM e w JOIN e r ON w.user_id = r.user_id AND w.slot = r.slot AND (w.scope IS NULL OR r.scope IS NULL OR w.scope = r.scope) WHERE w.event_type = 'signup' AND r.event_type = 'view'""")
 def state_bridge(spark, d):
-    """Write to read by key, where a null scope matches any."""
-    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.when(F.col("value") >= 1, F.floor("value")).alias("scope"))
-    w = e.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("write_id"), F.col("scope").alias("ws"))
-    r = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("read_id"), F.col("scope").alias("rs"))
-    return w.join(r, "user_id").where("write_id <> read_id and (ws is null or rs is null or ws = rs)").select("write_id", "read_id")
+    """Writes of a slot to its reads in the same file, where an unknown class matches any."""
+    e = read(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("file_path"), "event_type", F.concat(F.lit("k"), (F.floor("value") % 7).cast("string")).alias("slot"), F.concat(F.lit("f"), F.col("event_id") % 3).alias("function"))
+    wrote = F.col("event_type") == "signup"
+    text = F.when(wrote, F.concat(F.lit("self."), "slot", F.lit(" = 1"))).otherwise(F.concat(F.lit("use(self."), "slot", F.lit(")")))
+    nodes = e.where("event_type in ('signup', 'view')").select(F.col("event_id").cast("string").alias("node_id"), "file_path", "function", text.alias("text"), F.when(wrote, "assignment").otherwise("call_site").alias("node_type"), F.when(wrote, "self").alias("var_name"))
+    slots = e.select("file_path", F.concat(F.lit("self."), "slot").alias("slot")).distinct()
+    functions = e.select("file_path", F.col("function").alias("name"), F.when(F.col("function") == "f1", "A").when(F.col("function") == "f2", "B").alias("class_name")).distinct()
+    out = state_edges(nodes, slots, functions)
+    return out.select(F.col("src").cast("long").alias("write_id"), F.col("dst").cast("long").alias("read_id"))
 
 
 @query("""SELECT l_orderkey, arg_min(l_partkey, (l_shipdate, l_linenumber, l_partkey)) AS first_part FROM lineitem GROUP BY l_orderkey""")
 def first_assignment(spark, d):
     """The earliest of each group."""
-    return read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_shipdate", "l_linenumber", "l_partkey")).alias("first_part"))
+    return M.earliest(read(spark, d, "lineitem"), ["l_orderkey"], "l_partkey", ["l_shipdate", "l_linenumber", "l_partkey"], "first_part")
 
 
 # --- shaping
@@ -314,21 +340,24 @@ def merge_categories(spark, d):
     """A3: one finding for a place; the severest category leads, the others are related."""
     rules = spark.createDataFrame([("sinks", "sql_injection", "the", 0), ("sinks", "xss", "en", 1), ("sinks", "ssrf", "tion", 2)], "section string, category string, pattern string, ord int")
     docs = read(spark, d, "documents").select("doc_id", "text")
-    hits = docs.join(L.match_all(docs, rules, "sinks"), "text").withColumn("pattern_length", F.length("pattern"))
+    hits = L.with_matches(docs, rules, "sinks").select("doc_id", F.explode("_m").alias("m")).select("doc_id", "m.category", F.length("m.pattern").alias("pattern_length"))
     return N.merge_categories(hits, ["doc_id"]).select("doc_id", "main", F.array_join("related", ",").alias("related"))
 
 
-@query("""WITH l AS (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations) SELECT conv_id, turn, role FROM l WHERE b IS DISTINCT FROM role""")
+@query("""WITH l AS (SELECT event_id, user_id, event_type, row_number() OVER w AS n, lag(event_type) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT event_id, user_id, event_type FROM l WHERE b IS DISTINCT FROM event_type""")
 def chain_fold(spark, d):
-    """Successive steps of the same function fold."""
-    return M.folded(read(spark, d, "conversations").select("conv_id", "turn", "role"), ["conv_id"], "turn", "role")
+    """Successive steps of the same function fold (here: a user's successive events of one type)."""
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("n"))
+    return M.folded(e, ["user_id"], "n", "event_type").select("event_id", "user_id", "event_type")
 
 
-@query("""SELECT event_id, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS previous_use FROM events""")
+@query("""WITH d AS (SELECT user_id, event_type, min(event_id) AS def_line FROM events GROUP BY ALL), u AS (SELECT e.user_id, e.event_type, def_line, event_id AS use_line FROM events e JOIN d USING (user_id, event_type) WHERE event_id <> def_line)
+SELECT user_id, event_type, def_line, use_line, lag(use_line) OVER (PARTITION BY user_id, event_type ORDER BY use_line) AS before FROM u""")
 def use_chain(spark, d):
-    """Each use is chained to the one before."""
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    return read(spark, d, "events").select("event_id", F.lag("event_id").over(w).alias("previous_use"))
+    """The uses of a definition, each chained to the one before."""
+    e = read(spark, d, "events").select(F.col("user_id").cast("string").alias("file_path"), F.lit("f").alias("function"), F.lit(1).alias("fn_line"), F.col("event_type").alias("var_name"), F.col("event_id").alias("line"))
+    defs = e.groupBy("file_path", "function", "fn_line", "var_name").agg(F.min("line").alias("line")).withColumn("enhanced_for", F.lit(False))
+    return reference_chains(defs, e).select(F.col("file_path").cast("long").alias("user_id"), F.col("var_name").alias("event_type"), "def_line", "use_line", "before")
 
 
 @query(r"""SELECT page_id, regexp_extract_all(html, '([A-Za-z_$][0-9A-Za-z_$]*)\s*\(', 1)[-1] AS last_call FROM pages""")
@@ -379,7 +408,7 @@ def coverage_ratio(spark, d):
 _SCORE = "least(100, (CASE WHEN {any} THEN 20 ELSE 0 END) + least(30, 8 * ({words})) + (CASE {modules} ELSE 0 END))".format(
     any=" OR ".join("contains(html, '%s')" % m.replace("'", "''") for m in D.JOINED),
     words=" + ".join("contains(lower(html), '%s')::INT" % k for k in D.KEYWORDS),
-    modules=" ".join("WHEN contains(html, '%s') THEN %d" % m for m in D.MODULES),
+    modules=" ".join("WHEN contains(lower(html), '%s') THEN %d" % (m.lower(), w) for m, w in D.MODULES),
 )
 
 
@@ -414,7 +443,7 @@ def dominators(spark, d):
 
 @query(None)
 def control_dependence(spark, d):
-    """Post-dominators, trees and control dependence (tested against brute force)."""
+    """Post-dominators, trees and control dependence (tests/test_graph.py holds it against brute force)."""
     blocks, edges = _user_blocks(spark, d)
     return dominance(blocks, edges).where("relation <> 'dom'")
 
@@ -423,9 +452,8 @@ def control_dependence(spark, d):
 def reachable_blocks(spark, d):
     """Blocks that control can reach, the entry included."""
     blocks, edges = _user_blocks(spark, d)
-    key = lambda c: F.concat_ws(":", "fn", c)
-    found = G.reachable_blocks(blocks.where("block_type = 'entry'").select(key("block_id").alias("node_id")), edges.select(key("src").alias("src"), key("dst").alias("dst")))
-    return found.groupBy(F.substring_index("node_id", ":", 1).alias("fn")).agg(F.count("*").alias("blocks"))
+    found = reachable(blocks.where("block_type = 'entry'").select("fn", "block_id"), edges, 1_000_000)
+    return found.groupBy("fn").agg(F.count("*").alias("blocks"))
 
 
 @query("""WITH a(section, category, pattern, src, ord) AS (SELECT 'sinks', p_type, p_brand, 0, min(p_partkey) FROM part WHERE p_size < 25 GROUP BY ALL UNION ALL SELECT 'sinks', p_type, p_brand, 1, min(p_partkey) FROM part WHERE p_size > 20 GROUP BY ALL),
@@ -440,19 +468,18 @@ def rules_merge(spark, d):
     return merge_rules(part("p_size < 25", 0).unionByName(part("p_size > 20", 1))).select("section", "category", "pattern", "place")
 
 
-@query("""SELECT c_mktsegment, sha256(string_agg(c_name, chr(10) ORDER BY c_name)) AS fingerprint FROM customer GROUP BY c_mktsegment""")
+@query("""SELECT c_mktsegment, count(*) || '-' || sum(('0x' || substr(sha256(c_name), 1, 15))::BIGINT)::HUGEINT AS fingerprint FROM customer GROUP BY c_mktsegment""")
 def content_fingerprint(spark, d):
-    """A digest of sorted entries."""
+    """A digest of all entries, in any order."""
     from flowspar.sources.rules import fingerprint
 
     return fingerprint(read(spark, d, "customer"), ["c_mktsegment"], "c_name")
 
 
-@query("""SELECT l_orderkey, l_partkey, l_suppkey, max(l_quantity) AS l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey, l_suppkey ORDER BY l_shipdate DESC, l_linenumber DESC, l_quantity DESC) AS n FROM lineitem) WHERE n = 1 GROUP BY ALL""")
+@query("""SELECT l_orderkey, l_returnflag, l_partkey, l_quantity FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_shipdate DESC, l_linenumber DESC, l_partkey DESC, l_quantity DESC) AS n FROM lineitem) WHERE n = 1""")
 def last_wins(spark, d):
     """Nodes with the same id merge; the last one's attributes stay."""
-    li = read(spark, d, "lineitem")
-    return li.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.max_by("l_quantity", F.struct("l_shipdate", "l_linenumber", "l_quantity")).alias("l_quantity"))
+    return M.last_wins(read(spark, d, "lineitem"), ["l_orderkey", "l_returnflag"], ["l_partkey", "l_quantity"], ["l_shipdate", "l_linenumber"])
 
 
 @query("""SELECT lang, count(*) AS docs FROM documents GROUP BY lang ORDER BY docs DESC, lang LIMIT 1""")
