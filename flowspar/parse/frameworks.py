@@ -177,7 +177,7 @@ def fastapi(facts: Facts, text: str) -> None:
                 if re.search(r"\b(?:Depends|Security)\(", p["text"]):
                     auth += [p["text"].strip()] if _AUTH.search(p["text"]) else []
                     continue
-                source = "path" if p["name"] in inside else _FAST[call.group(1)] if call else "query" if re.match(r"(?:str|int|float|bool|list|Optional|)\b", hint) else "body"
+                source = "path" if p["name"] in inside else _FAST[call.group(1)] if call else "query" if not hint or re.match(r"(?:str|int|float|bool|list|Optional)\b", hint) else "body"
                 required = not default.strip() or bool(re.search(r"\(\s*\.\.\.", default))
                 params.append(_param(p["name"], source, hint, required))
             _add(facts, row, route, [verb.group(1).upper()], params, auth, "fastapi", _lines(text, row, r"request\.(?:query_params|json|form|headers|cookies|body|path_params)"))
