@@ -10,7 +10,9 @@ sys.path.insert(0, str(Path(__file__).parent.parent))
 def spark():
     from pyspark.sql import SparkSession
 
-    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"}
+    # many small jobs on tiny tables: compiling and re-planning each of them would take most of the time
+    quick = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.adaptive.enabled": "false"}
+    conf = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false", **quick}
     held = SparkSession.builder.master("local[8]").config(map=conf).getOrCreate()
     held.sparkContext.setLogLevel("ERROR")
     yield held
