@@ -279,14 +279,14 @@ def three_tier_match(spark, d):
     return M.tiers(c, s, ["c_custkey"], on, [F.col("s_suppkey")])
 
 
-@query("""WITH e AS (SELECT l.doc_id, b.doc_id AS linked FROM labels l JOIN documents a ON a.doc_id = l.doc_id JOIN documents b ON b.source = a.source AND b.lang = a.lang AND b.doc_id = l.doc_id + 7),
+@query("""WITH e AS (SELECT l.doc_id, b.doc_id AS linked FROM labels l JOIN documents a ON a.doc_id = l.doc_id JOIN documents b ON b.source = a.source AND b.lang = a.lang AND b.doc_id = l.doc_id + 20),
 g AS (SELECT source, lang, min(doc_id) AS linked FROM documents WHERE n_chars < 2000 OR doc_id % 7 = 0 GROUP BY source, lang)
 SELECT l.doc_id, coalesce(e.linked, g.linked) AS linked, CASE WHEN e.linked IS NOT NULL THEN 'exact' WHEN g.linked IS NOT NULL THEN 'group' ELSE 'none' END AS match
 FROM labels l JOIN documents a ON a.doc_id = l.doc_id LEFT JOIN (SELECT e.* FROM e JOIN documents d ON d.doc_id = e.linked WHERE d.n_chars < 2000 OR d.doc_id % 7 = 0) e ON e.doc_id = l.doc_id LEFT JOIN g ON g.source = a.source AND g.lang = a.lang""")
 def tiered_link(spark, d):
     """Exact match, else the first of the same group, else none."""
     docs = read(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
-    left = read(spark, d, "labels").select("doc_id").join(docs, "doc_id").select("doc_id", "source", "lang", (F.col("doc_id") + 7).alias("at"))
+    left = read(spark, d, "labels").select("doc_id").join(docs, "doc_id").select("doc_id", "source", "lang", (F.col("doc_id") + 20).alias("at"))
     right = docs.where("n_chars < 2000 or doc_id % 7 = 0").select(F.col("doc_id").alias("linked"), F.col("doc_id").alias("at"), "source", "lang")
     return M.exact_or_first(left, right, ["doc_id"], ["source", "lang", "at"], ["source", "lang"], ["linked"], ["linked"]).select("doc_id", "linked", "match")
 

@@ -9,7 +9,7 @@ import pytest
 from flowspar.plans import registry
 
 SF = "/root/testdata/sf0.001"
-FAST = sorted(set(registry.oracle_sql()) - set("event_taint_reach event_path_string event_sanitized reach_by_user reach_capped truncated_by_category backward_sources forward_sinks call_chain reachable_blocks".split()))
+FAST = sorted(set(registry.oracle_sql()) - set("event_taint_reach event_path_string event_sanitized reach_by_user reach_capped truncated_by_category backward_sources forward_sinks call_chain".split()))
 
 
 @pytest.fixture(scope="module")
@@ -32,6 +32,21 @@ def test_query_matches_sql(spark, con, name):
     assert plain(map(tuple, df.collect())) == plain(expected)
 
 
+def test_features_decide_rows(spark):
+    """Inputs on which the feature of a query changes its result."""
+    q = registry.queries()
+    rows = lambda name: q[name](spark, SF).collect()
+    n = lambda name: spark.read.parquet(f"{SF}/{name}.parquet").count()
+    assert 0 < len(rows("chain_fold")) < n("events") and 0 < len(rows("last_wins")) < n("lineitem")
+    assert {r["label"] for r in rows("source_priority")} >= {"source", "sink"} and len(rows("label_exclude")) < n("pages")
+    assert {r["match"] for r in rows("tiered_link")} >= {"exact", "group"} and {r["tier"] for r in rows("three_tier_match")} == {"high", "medium", "low"}
+    assert max(r["events"] for r in rows("span_join")) > min(r["events"] for r in rows("span_join")) and len({r["categories"] for r in rows("rule_label_pages")}) > 1
+    per = {}
+    for r in rows("paths_per_pair"):
+        per[r["nation"], r["segment"]] = per.get((r["nation"], r["segment"]), 0) + 1
+    assert max(per.values()) == 5 and len(rows("paths_per_pair")) < n("customer")
+
+
 def test_entry_point_without_the_llm_folder():
     code = "import sys; sys.modules['flowspar.llm'] = None; sys.path.insert(0, '.'); import importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path, target=None):\n        if name.startswith(('flowspar.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name=name)\nsys.modules.pop('flowspar.llm'); sys.meta_path.insert(0, Gone()); import __spark_entry__ as e; assert not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
