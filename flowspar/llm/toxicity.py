@@ -145,11 +145,13 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     """The normalised kernel matrix."""
     codes, a, b = encode(words)
     out = np.zeros((len(words), len(landmarks)))
-    tables = [features(z) for z in landmarks]
-    for some, letters in by_length(codes, a, b):
-        norm = np.sqrt(self_kernel(letters))
-        for j, t in enumerate(tables):
-            out[some, j] = weighted(letters, t) / norm
+    tables = np.array([features(z) for z in landmarks]).reshape(len(landmarks), LETTERS**3)
+    for some, letters in by_length(codes, a, b, 256):
+        wide, own = letters.astype(np.int64), np.zeros((letters.shape[1], LETTERS**3))
+        row = np.arange(len(own))
+        for i, j, k in combinations(range(len(letters)), 3):
+            own[row, (wide[i] * LETTERS + wide[j]) * LETTERS + wide[k]] += DECAY ** (k - i + 1)
+        out[some] = own @ tables.T / np.maximum(np.sqrt((own * own).sum(axis=1)), 1e-12)[:, None]
     return out
 
 
