@@ -124,6 +124,10 @@ def test_java(spark, tmp_path):
     assert report["summary"]["findings"] == 7 and report["summary"]["endpoints"] == 9
     kinds = {x["kind"] for x in C.blind_spot_manifest(r.endpoints, r.nodes, r.rules, r.findings).collect()}
     assert {"endpoint_no_auth", "structural", "category_gap"} <= kinds and "category_uncovered" not in kinds
+
+
+def test_java_options(spark, tmp_path):
+    root = write(tmp_path / "src", JAVA)
     capped = scan(spark, root, max_findings_per_category=1, severity_overrides={"command_injection": "low"}, enable_container_bridge=True, include_blind_spots=False)
     assert capped.to_dict()["summary"]["truncated_categories"]["command_injection"] == 1
     assert ("sql_injection", 38, 43, False, "exact") in shown(capped) or capped.to_dict()["summary"]["truncated_categories"].get("sql_injection") == 1
