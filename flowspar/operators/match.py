@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowspar.sources.durable import durable
 
@@ -28,6 +33,18 @@ def last_wins(df: DataFrame, keys: list[str], values: list[str], order: list[str
 WIDER, LEVELS = 4, 16
 
 
+def _leveled(spans: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
+    """spans with _level and _bucket: a row for each of the at most two buckets that a span lies in at its level."""
+    span = F.col(end) - F.col(start)
+    level = F.coalesce(*(F.when(span <= float(bucket * WIDER**k), k) for k in range(LEVELS - 1)), F.lit(LEVELS - 1))
+    cut = lambda c: _cut(c, bucket)
+    return spans.where(F.col(end) >= F.col(start)).withColumn("_level", level).withColumn("_bucket", F.explode(F.sequence(cut(start), cut(end))))
+
+
+def _cut(c: str, bucket: int) -> Column:
+    return F.floor(F.col(c) / (F.lit(float(bucket)) * F.pow(F.lit(float(WIDER)), F.col("_level")))).cast("bigint")
+
+
 def in_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, bucket: int | None = None) -> DataFrame:
     """points joined with the spans of the same keys that hold them (start <= point <= end).
 
@@ -37,21 +54,74 @@ def in_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, st
     held = F.col(point).between(F.col(start), F.col(end))
     if bucket is None:
         return points.join(spans, keys).where(held)
-    size = lambda k: float(bucket * WIDER**k)
-    span = F.col(end) - F.col(start)
-    level = F.coalesce(*(F.when(span <= size(k), k) for k in range(LEVELS - 1)), F.lit(LEVELS - 1))
-    width = F.lit(float(bucket)) * F.pow(F.lit(float(WIDER)), F.col("_level"))
-    cut = lambda c: F.floor(F.col(c) / width).cast("bigint")
-    wide = spans.where(F.col(end) >= F.col(start)).withColumn("_level", level).withColumn("_bucket", F.explode(F.sequence(cut(start), cut(end))))
-    each = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_bucket", cut(point))
-    return each.join(wide, [*keys, "_level", "_bucket"]).where(held).drop("_level", "_bucket")
-
-
-def smallest_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, ties: list[str], point_keys: list[str], bucket: int | None = None, where: Column | None = None) -> DataFrame:
-    """For each point (told by point_keys) the narrowest span that holds it (and meets ``where``); ties by the given columns."""
-    joined = in_span(points, spans, keys, point, start, end, bucket)
-    joined = joined if where is None else joined.where(where)
-    return first_by(joined, point_keys, [F.col(end) - F.col(start), *ties])
+    each = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_bucket", _cut(point, bucket))
+    return each.join(_leveled(spans, start, end, bucket), [*keys, "_level", "_bucket"]).where(held).drop("_level", "_bucket")
+
+
+def smallest_span(points: DataFrame, spans: DataFrame, keys: list[str], point: str, start: str, end: str, ties: list[str], point_keys: list[str], bucket: int | None = None, apart: tuple[str, str] | None = None) -> DataFrame:
+    """For each point (told by point_keys) the narrowest span that holds it; ties by the given columns. With ``apart``, the
+    span's column of that name must differ from the point's (a null differs from nothing).
+
+    No pairs are made: points and span starts of a key (and bucket, see ``in_span``) are read in their order, with the open
+    spans in a heap. So the work is that of sorting, however many spans hold a point."""
+    at = ["_level", "_bucket"]
+    if bucket is None:
+        zero = lambda df: df.withColumn("_level", F.lit(0)).withColumn("_bucket", F.lit(0).cast("bigint"))
+        filed, each = zero(spans.where(F.col(end) >= F.col(start))), zero(points)
+    else:
+        filed = _leveled(spans, start, end, bucket)
+        levels = sorted(r[0] for r in filed.select("_level").distinct().collect())  # LEVELS at most
+        each = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bucket", _cut(point, bucket))
+    own, other = apart or (None, None)
+    span = F.struct(*(c for c in spans.columns if c not in keys))
+    place = F.struct(*points.columns)
+    order = F.struct((F.col(end) - F.col(start)).alias("_w"), *(F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)))
+    rows = filed.select(*keys, *at, F.col(start).alias("_at"), F.lit(0).alias("_kind"), F.col(end).alias("_end"), order.alias("_order"), span.alias("_span"), F.lit(None).cast(each.select(place.alias("x")).schema["x"].dataType).alias("_point"))
+    shape = rows.schema
+    asked = each.where(F.col(point).isNotNull()).select(*keys, *at, F.col(point).alias("_at"), F.lit(1).alias("_kind"), *(F.lit(None).cast(shape[c].dataType).alias(c) for c in ("_end", "_order", "_span")), place.alias("_point"))
+    every = rows.unionByName(asked)
+    for k in keys:
+        every = every.where(F.col(k).isNotNull())
+    group = [*keys, *at]
+    sorted_rows = every.repartition(*group).sortWithinPartitions(*group, "_at", "_kind")
+    found = sorted_rows.select(*group, "_at", "_kind", "_end", "_order", "_span", "_point").mapInArrow(_sweep(len(group), own, other), T.StructType([shape["_order"], shape["_span"], T.StructField("_point", shape["_point"].dataType)]))
+    best = found.groupBy(*(F.col(f"_point.{c}").alias(f"_k{i}") for i, c in enumerate(point_keys))).agg(F.min_by(F.struct("_span", "_point"), F.struct("_order.*")).alias("_b"))
+    return best.select(*(F.col(f"_b._point.{c}").alias(c) for c in points.columns), *(F.col(f"_b._span.{c}").alias(c) for c in spans.columns if c not in keys))
+
+
+def _sweep(width: int, own: str | None, other: str | None):
+    """Rows of groups (the first ``width`` columns) in order to (_order, _span, _point): each point's first open span."""
+    sortable = lambda o: tuple((v is not None, v) for v in o.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, heap, live, n = None, [], 0, 0
+        for batch in batches:
+            made = []
+            kept = [c.to_pylist() for c in batch.columns]
+            for *g, at, kind, end, order, span, point in zip(*kept):
+                if g != group:
+                    group, heap, live = g, [], 0
+                if kind == 0:
+                    n += 1  # so that equal spans need no comparison of what follows
+                    heapq.heappush(heap, (sortable(order), n, end, order, span))
+                    if len(heap) > 2 * live + 1000:
+                        heap = [x for x in heap if x[2] >= at]
+                        heapq.heapify(heap)
+                        live = len(heap)
+                    continue
+                aside = []
+                while heap and (heap[0][2] < at or (own is not None and (heap[0][4][own] is None or point[other] is None or heap[0][4][own] == point[other]))):
+                    x = heapq.heappop(heap)
+                    if x[2] >= at:
+                        aside.append(x)
+                if heap:
+                    made.append({"_order": heap[0][3], "_span": heap[0][4], "_point": point})
+                for x in aside:
+                    heapq.heappush(heap, x)
+            schema = pa.schema([batch.schema.field(c) for c in ("_order", "_span", "_point")])
+            yield pa.RecordBatch.from_pylist(made, schema=schema)
+
+    return run
 
 
 def tiers(left: DataFrame, right: DataFrame, left_key: list[str], conditions: list[tuple[str, Column]], columns: list[Column]) -> DataFrame:

@@ -262,7 +262,7 @@ def smallest_span(spark, d):
     """The narrowest span that holds a point."""
     p = read(spark, d, "part")
     spans = p.select(F.col("p_partkey").alias("span_key"), "p_brand", (F.col("p_retailprice") - F.col("p_size")).alias("a"), (F.col("p_retailprice") + F.col("p_size")).alias("b"))
-    rows = M.smallest_span(p.select("p_partkey", "p_brand", "p_retailprice"), spans, ["p_brand"], "p_retailprice", "a", "b", ["span_key"], ["p_partkey"], 50, F.col("span_key") != F.col("p_partkey"))
+    rows = M.smallest_span(p.select("p_partkey", "p_brand", "p_retailprice"), spans, ["p_brand"], "p_retailprice", "a", "b", ["span_key"], ["p_partkey"], 50, ("span_key", "p_partkey"))
     return rows.select("p_partkey", "span_key")
 
 

@@ -214,3 +214,20 @@ def test_patterns_and_chains(spark):
     found = G.taint_paths(nodes.where("taint_source is not null"), nodes.where("taint_sink is not null"), edges)
     assert C.path_text(found, nodes).first()["text"] == "f:1 a = input()\n  └ f:2 os.system(a)"
     assert C.path_sanitizers(found, nodes).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [None, 4])
+def test_smallest_span_by_brute_force(spark, bucket):
+    """Spans that are no answer for points of their own id, ties, points in no span; and no join, which would make pairs."""
+    rng = random.Random(11)
+    points = [(rng.randrange(3), i, float(rng.randrange(60))) for i in range(90)]
+    spans = [(rng.randrange(3), i % 80, i, float(a), float(a + rng.choice([0, 1, 1, 5, 20, 70, -1]))) for i, a in enumerate(rng.choices(range(50), k=120))]
+    p, s = spark.createDataFrame(points, "k int, i int, p double"), spark.createDataFrame(spans, "k int, of int, t int, a double, b double")
+    out = M.smallest_span(p, s, ["k"], "p", "a", "b", ["t"], ["i"], bucket, ("of", "i"))
+    brute = {}
+    for k, i, x in points:
+        held = [(b - a, t) for n, of, t, a, b in spans if n == k and a <= x <= b and of != i]
+        if held:
+            brute[i] = min(held)[1]
+    assert {r["i"]: r["t"] for r in out.collect()} == brute and 0 < len(brute) < len(points)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
