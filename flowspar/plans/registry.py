@@ -249,7 +249,7 @@ def attribute_search(spark, d):
 SELECT s.event_id, count(*) AS events FROM e s JOIN e p ON p.user_id = s.user_id AND p.at BETWEEN s.at AND s.until WHERE s.event_type = 'signup' GROUP BY s.event_id""")
 def span_join(spark, d):
     """Points in spans of the same key, of very different widths, joined by buckets."""
-    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    e = read(spark, d, "events").select("event_id", "user_id", "event_type", F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint").alias("at"))  # epoch(ts)::BIGINT rounds
     hours = F.expr("(1 + event_id % 5) * (1 + event_id % 7) * (1 + 20 * cast(event_id % 11 = 0 as int))")
     spans = e.where("event_type = 'signup'").select("event_id", "user_id", F.col("at").alias("s"), (F.col("at") + hours * 3600).alias("e"))
     return M.in_span(e.select("user_id", "at"), spans, ["user_id"], "at", "s", "e", 3600).groupBy("event_id").agg(F.count("*").alias("events"))

@@ -50,3 +50,12 @@ def test_features_decide_rows(spark):
 def test_entry_point_without_the_llm_folder():
     code = "import sys; sys.modules['flowspar.llm'] = None; sys.path.insert(0, '.'); import importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path, target=None):\n        if name.startswith(('flowspar.llm', 'corpus_pipeline')): raise ModuleNotFoundError(name=name)\nsys.modules.pop('flowspar.llm'); sys.meta_path.insert(0, Gone()); import __spark_entry__ as e; assert not any(n.startswith('op') or n == 'pipeline' for n in e.queries())"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_span_join_rounds_seconds_as_sql_does(spark, con, tmp_path):
+    """Times with fractions of a second: epoch(ts)::BIGINT rounds them, half to even."""
+    times = {1: "00:00:00.600", 2: "04:00:00.700", 3: "04:00:01.400", 4: "04:00:01.500", 5: "04:00:01.600", 6: "00:00:02.500"}
+    con.execute(f"copy (select * from (values {', '.join(f'({i}, timestamp {chr(39)}2024-01-01 {t}{chr(39)}, 7, {chr(39)}{"signup" if i in (1, 6) else "view"}{chr(39)})' for i, t in times.items())}) v(event_id, ts, user_id, event_type)) to '{tmp_path}/events.parquet'")
+    sql = registry.oracle_sql()["span_join"].replace("FROM events)", f"FROM '{tmp_path}/events.parquet')")
+    got = registry.queries()["span_join"](spark, str(tmp_path)).select("event_id", "events").collect()
+    assert plain(map(tuple, got)) == plain(con.execute(f"SELECT event_id, events FROM ({sql})").fetchall())
