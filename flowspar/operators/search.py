@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowspar.schema import CALLS, DATA_FLOW, MAX_NODES, PER_PAIR
-from flowspar.sources.durable import durable, place
+from flowspar.sources.durable import durable, place, unsent
 
 
 def adjacency(edges: DataFrame, types: tuple[str, ...] = (DATA_FLOW, CALLS)) -> DataFrame:
@@ -33,14 +33,14 @@ def _levels(starts: DataFrame, adj: DataFrame, sinks: DataFrame, max_nodes: int,
 
     def keep(df: DataFrame, k: int) -> DataFrame:
         df.write.parquet(f"{held}/level={k}")
-        return starts.sparkSession.read.schema(df.schema).parquet(f"{held}/level={k}")
+        return unsent(starts.sparkSession.read.schema(df.schema).parquet(f"{held}/level={k}"))
 
     levels = [keep(first, 0)]
     whole = "source string, node string, fresh boolean, level int"
     out = adj.select(F.col("src").alias("node"), F.col("dst"), F.col("pos").alias("_pos"), "etype")
     for k in range(1, max_nodes + 1):
         last = levels[-1].where("fresh")
-        seen = starts.sparkSession.read.schema(whole).parquet(held).where("fresh").select("source", "node")
+        seen = unsent(starts.sparkSession.read.schema(whole).parquet(held)).where("fresh").select("source", "node")
         if stop_at_sinks:
             last = last.where("not sink or node = source")
         by = Window.partitionBy("source", "node").orderBy("parent_rank", "pos", "before")

@@ -37,7 +37,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back, which ends its lineage."""
     path = place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return unsent(df.sparkSession.read.schema(df.schema).parquet(path))
+
+
+def unsent(df: DataFrame) -> DataFrame:
+    """df, which the next join doesn't broadcast: Spark would go by the size of the compressed files, and tables that grow with
+    the input would go through the driver."""
+    return df.hint("merge")
 
 
 def forget(df: DataFrame) -> None:

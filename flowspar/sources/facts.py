@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flowspar import schema as S
 from flowspar.parse import frameworks, java, javascript, python
 from flowspar.parse.model import FACTS, FIELDS, Facts
-from flowspar.sources.durable import place
+from flowspar.sources.durable import place, unsent
 
 VERSION = "1"  # of the facts; part of the cache's key
 PARSERS = {"python": python.parse, "java": java.parse, "javascript": javascript.parse}
@@ -73,8 +73,9 @@ def _parse(names: tuple[str, ...] | None):
 
 def parse_files(files: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
     """Fact rows of files(path, content, language); content is binary or text. names: framework extractors to run
-    (default: those of the language)."""
-    return files.select("path", "content", "language").mapInArrow(_parse(names), FACTS)
+    (default: those of the language). Few files of a table may hold many sources, so these are spread over all tasks."""
+    tasks = 4 * files.sparkSession.sparkContext.defaultParallelism
+    return files.select("path", "content", "language").repartition(tasks, "path").mapInArrow(_parse(names), FACTS)
 
 
 def cached_facts(files: DataFrame, folder: str, names: tuple[str, ...] | None = None) -> DataFrame:
@@ -106,7 +107,7 @@ class FactTables:
         spark = facts.sparkSession
         path = place(spark, "facts")
         facts.write.partitionBy("kind").parquet(path)
-        self._all = spark.read.schema(FACTS).parquet(path)
+        self._all = unsent(spark.read.schema(FACTS).parquet(path))
 
     def rows(self, kind: str) -> DataFrame:
         return self._all.where(F.col("kind") == kind).drop("kind")
