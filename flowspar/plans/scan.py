@@ -23,18 +23,53 @@ from flowspar.sources.rules import load_rules
 
 @dataclass
 class ScanResult:
-    """What a scan found. Everything is a DataFrame; the to_... methods bring a report to the driver."""
+    """What a scan found. Everything is a DataFrame; the to_... methods bring a report to the driver. Files are parsed at once;
+    graph, labels, paths and findings are made when they are first asked for."""
 
     tables: FactTables
     files: DataFrame
     rules: DataFrame
-    nodes: DataFrame
-    edges: DataFrame
-    endpoints: DataFrame
-    findings: DataFrame
-    truncated: DataFrame
     language: str
     include_blind_spots: bool = True
+    max_findings_per_category: int = S.PER_CATEGORY
+    severity_overrides: dict[str, str] | None = None
+    container_bridge: bool = False
+    state_bridge: bool = False
+
+    @cached_property
+    def endpoints(self) -> DataFrame:
+        return durable(self.tables.endpoints(), "endpoints").orderBy("file_path", "line", "route", "handler")
+
+    @cached_property
+    def _graph(self) -> tuple[DataFrame, DataFrame]:
+        return build_graph(self.tables, self.files, self.rules, self.container_bridge, self.state_bridge)
+
+    @property
+    def edges(self) -> DataFrame:
+        return self._graph[1]
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        """Labelled nodes."""
+        return durable(mark_route_parameters(L.label_nodes(self._graph[0], self.rules), self.endpoints), "labelled")
+
+    @cached_property
+    def _found(self) -> tuple[DataFrame, DataFrame]:
+        nodes, cap = self.nodes, self.max_findings_per_category
+        paths = durable(G.taint_paths(nodes.where("taint_source is not null"), nodes.where("taint_sink is not null"), self.edges), "paths")
+        taints, cut = N.build(paths, nodes, self.rules, cap, self.severity_overrides)
+        taints = durable(taints, "taints")
+        patterns, pattern_cut = N.pattern_findings(nodes, self.rules, taints, cap, self.severity_overrides)
+        found = durable(taints.unionByName(patterns), "findings")
+        return found, cut.unionByName(pattern_cut).groupBy("category").agg(F.sum("truncated").alias("truncated"))
+
+    @property
+    def findings(self) -> DataFrame:
+        return self._found[0]
+
+    @property
+    def truncated(self) -> DataFrame:
+        return self._found[1]
 
     @cached_property
     def linked(self) -> DataFrame:
@@ -122,18 +157,9 @@ def scan_files(files: DataFrame, rules: DataFrame, language: str | None = None,
     wanted = files.where((F.col("language") == language) | (F.lit("connexion" in names) & (F.col("language") == "openapi")))
     facts = parse_files(wanted, names) if cache is None else cached_facts(wanted, cache, names)
     tables = FactTables(facts)
-    paths = sources.where(F.col("language") == language).select("path")
+    paths = durable(sources.where(F.col("language") == language).select("path"), "paths")
     own = rules.where(F.col("language") == language)
-    nodes, edges = build_graph(tables, paths, own, container_bridge, state_bridge)
-    endpoints = durable(tables.endpoints(), "endpoints").orderBy("file_path", "line", "route", "handler")
-    labelled = durable(mark_route_parameters(L.label_nodes(nodes, own), endpoints), "labelled")
-    paths_found = durable(G.taint_paths(labelled.where("taint_source is not null"), labelled.where("taint_sink is not null"), edges), "paths")
-    taints, cut = N.build(paths_found, labelled, own, max_findings_per_category, severity_overrides)
-    taints = durable(taints, "taints")
-    patterns, pattern_cut = N.pattern_findings(labelled, own, taints, max_findings_per_category, severity_overrides)
-    found = durable(taints.unionByName(patterns), "findings")
-    truncated = cut.unionByName(pattern_cut).groupBy("category").agg(F.sum("truncated").alias("truncated"))
-    return ScanResult(tables, paths, own, labelled, edges, endpoints, found, truncated, language, include_blind_spots)
+    return ScanResult(tables, paths, own, language, include_blind_spots, max_findings_per_category, severity_overrides, container_bridge, state_bridge)
 
 
 def scan(spark: SparkSession, directory: str, language: str | None = None, framework: str | None = None, max_findings_per_category: int = S.PER_CATEGORY, include_blind_spots: bool = True, use_cache: bool = False, severity_overrides: dict[str, str] | None = None, rules_paths: list[str] | None = None, *, cache: str | None = None, enable_container_bridge: bool = False, enable_state_bridge: bool = False) -> ScanResult:

@@ -214,3 +214,14 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([root, "-o", str(out), "--no-canonical"]) == 0
     assert "code_injection" in capsys.readouterr().out
     assert len(json.loads(out.read_text())["findings"]) == 1 and (tmp_path / "report.elements.json").exists() and not (tmp_path / "report.canonical.json").exists()
+
+
+def test_a_scan_does_what_is_asked_and_broadcasts_no_table(spark, tmp_path):
+    """Endpoints need no graph, nodes no search; tables that grow with the input don't go through the driver."""
+    from flowspar.sources.durable import durable
+
+    r = scan(spark, write(tmp_path / "src", {"app.py": PYTHON["app.py"]}))
+    assert r.endpoints.count() == 1 and not {"_graph", "nodes", "_found"} & set(vars(r))
+    assert r.nodes.count() > 0 and "_found" not in vars(r)
+    assert "BroadcastHashJoin" not in r.nodes.join(r.edges, r.nodes["node_id"] == r.edges["src"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in spark.range(9).join(durable(spark.range(5), "x").where("id > 1").distinct(), "id")._jdf.queryExecution().executedPlan().toString()
