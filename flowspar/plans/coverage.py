@@ -24,10 +24,11 @@ def category_gap(known: DataFrame, active: DataFrame, key: str = "category") ->
     return known.select(key).distinct().join(active.select(key).distinct(), key, "left_anti")
 
 
-def blind_spot_manifest(endpoints: DataFrame, nodes: DataFrame, rules: DataFrame, found: DataFrame, phase3: DataFrame | None = None) -> DataFrame:
+def blind_spot_manifest(endpoints: DataFrame, nodes: DataFrame, rules: DataFrame, found: DataFrame | None, phase3: DataFrame | None = None) -> DataFrame:
     """Everything a reviewer has to look at by hand (T11), as one table: endpoints without a source, endpoints without
     authentication, what no graph shows (fixed rows), categories with sinks in the rules but none in the code or no
-    finding, and the open items of a phase-3 manifest (category, id, name, severity, cwe, status, needs_llm, reason)."""
+    finding, and the open items of a phase-3 manifest (category, id, name, severity, cwe, status, needs_llm, reason). Without
+    ``found`` there are no rows on what findings leave uncovered."""
     spark = nodes.sparkSession
     place = F.format_string("%s:%d", "file_path", "line")
     none = F.lit(None).cast("string")
@@ -39,9 +40,10 @@ def blind_spot_manifest(endpoints: DataFrame, nodes: DataFrame, rules: DataFrame
     active = nodes.select(F.explode("taint_sink").alias("category")).distinct()
     cwe = N.mapped(S.CWE, "category", none)
     gaps = row(category_gap(known, active), "category_gap", F.col("category"), none, F.lit("no sink of this category in the code"), N.severity("category"), cwe)
-    reached = found.select(F.explode(F.concat(F.array("vuln_type"), "related_categories")).alias("category")).distinct()
-    silent = row(category_gap(active, reached), "category_uncovered", F.col("category"), none, F.lit("sinks, but no finding"), N.severity("category"), cwe)
-    out = bare.unionByName(unguarded).unionByName(fixed).unionByName(gaps).unionByName(silent)
+    out = bare.unionByName(unguarded).unionByName(fixed).unionByName(gaps)
+    if found is not None:
+        reached = found.select(F.explode(F.concat(F.array("vuln_type"), "related_categories")).alias("category")).distinct()
+        out = out.unionByName(row(category_gap(active, reached), "category_uncovered", F.col("category"), none, F.lit("sinks, but no finding"), N.severity("category"), cwe))
     if phase3 is not None:
         open_items = phase3.where("coalesce(status, '') <> 'covered' or coalesce(needs_llm, false)")
         out = out.unionByName(row(open_items, "phase3", F.col("category"), F.col("id"), F.coalesce("reason", "name"), F.coalesce("severity", F.lit("medium")), F.col("cwe")))
