@@ -55,7 +55,7 @@ def event_nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def event_edges(nodes: DataFrame) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    step = nodes.select(F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.col("event_id").alias("seq"))
+    step = nodes.select("user_id", F.col("node_id").alias("src"), F.lead("node_id").over(w).alias("dst"), F.col("event_id").alias("seq"))
     return step.where("dst is not null").withColumn("edge_type", F.lit("DATA_FLOW"))
 
 
@@ -66,7 +66,7 @@ def event_rules(spark: SparkSession) -> DataFrame:
 
 def _event_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     nodes = durable(L.label_nodes(event_nodes(spark, d), event_rules(spark)), "labelled")  # searches filter it by label
-    return G.taint_paths(nodes.where("taint_source is not null"), nodes.where("taint_sink is not null"), event_edges(event_nodes(spark, d)), 20, 5), nodes
+    return G.taint_paths_within(nodes.where("taint_source is not null"), nodes.where("taint_sink is not null"), event_edges(event_nodes(spark, d)), "user_id", 20, 5), nodes
 
 
 _ORDERED = "o AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"

@@ -231,3 +231,22 @@ def test_smallest_span_by_brute_force(spark, bucket):
             brute[i] = min(held)[1]
     assert {r["i"]: r["t"] for r in out.collect()} == brute and 0 < len(brute) < len(points)
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_taint_paths_within_groups_by_brute_force(spark):
+    """Groups searched whole in a task: the same paths in the same order, without a table for each level."""
+    rng = random.Random(5)
+    edges, sources, sinks, brute = [], [], [], []
+    for g in range(12):
+        own = random_graph(rng, 14, 40, f"g{g}.")
+        nodes = [f"g{g}.{i:02d}" for i in range(14)]
+        src, snk = rng.sample(nodes, 3), rng.sample(nodes, 4)
+        edges += [(g, *e) for e in own]
+        sources += [(g, s) for s in src]
+        sinks += [(g, s) for s in snk]
+        brute += [(s, p) for s in src for p in queue_search(s, set(snk), successors(own), 5, 2)]
+    one = lambda ids: spark.createDataFrame(ids, "g int, node_id string")
+    out = G.taint_paths_within(one(sources), one(sinks), spark.createDataFrame(edges, "g int, src string, dst string, edge_type string, seq long"), "g", 5, 2).collect()
+    assert sorted((r["source"], r["path"]) for r in out) == sorted(brute)
+    for r in out:
+        assert r["hops"] == len(r["path"]) - 1 == len(r["etypes"]) and [p for s, p in brute if s == r["source"] and p[-1] == r["sink"]][r["nth"] - 1] == r["path"]
