@@ -10,30 +10,36 @@ from pyspark.sql import functions as F
 
 
 def dominators(entry: str, succ: dict[str, list[str]]) -> dict[str, set[str]]:
-    """node -> the nodes that dominate it, for everything the entry reaches (iterated to a fixed point)."""
-    order, seen, stack = [], {entry}, [entry]
+    """node -> the nodes that dominate it, for everything the entry reaches. Iterated to a fixed point in reverse postorder,
+    with the sets as bits of integers, so that mostly two rounds do."""
+    order, seen, stack = [], {entry}, [(entry, iter(succ.get(entry, ())))]
     while stack:
-        n = stack.pop()
-        order.append(n)
-        for m in succ.get(n, ()):
-            if m not in seen:
-                seen.add(m)
-                stack.append(m)
-    pred: dict[str, list[str]] = {n: [] for n in order}
+        n, rest = stack[-1]
+        m = next((m for m in rest if m not in seen), None)
+        if m is None:
+            order.append(n)
+            stack.pop()
+        else:
+            seen.add(m)
+            stack.append((m, iter(succ.get(m, ()))))
+    order.reverse()
+    at = {n: i for i, n in enumerate(order)}
+    pred: list[list[int]] = [[] for _ in order]
     for n in order:
         for m in succ.get(n, ()):
-            pred[m].append(n)
-    dom = {n: set(order) for n in order}
-    dom[entry] = {entry}
+            pred[at[m]].append(at[n])
+    dom = [1] + [(1 << len(order)) - 1] * (len(order) - 1)
     changed = True
     while changed:
         changed = False
-        for n in order:
-            if n != entry:
-                new = set.intersection(*(dom[p] for p in pred[n])) | {n}
-                if new != dom[n]:
-                    dom[n], changed = new, True
-    return dom
+        for i in range(1, len(order)):
+            new = -1
+            for p in pred[i]:
+                new &= dom[p]
+            new |= 1 << i
+            if new != dom[i]:
+                dom[i], changed = new, True
+    return {n: {order[len(bits) - 1 - i] for i, b in enumerate(bits) if b == "1"} for n, bits in ((n, f"{dom[i]:b}") for i, n in enumerate(order))}
 
 
 def immediate(dom: dict[str, set[str]]) -> dict[str, str]:
@@ -44,12 +50,15 @@ def immediate(dom: dict[str, set[str]]) -> dict[str, str]:
 _EXIT = "<exit>"
 
 
-def analyse(blocks: list[str], entry: str, edges: list[tuple[str, str]]) -> Iterator[tuple[str, str, str]]:
-    """(relation, a, b): a dom b, a pdom b, a idom b, a ipdom b, and b is control dependent (cd) on a."""
+def analyse(blocks: list[str], entry: str, edges: list[tuple[str, str]], only_dom: bool = False) -> Iterator[tuple[str, str, str]]:
+    """(relation, a, b): a dom b, a pdom b, a idom b, a ipdom b, and b is control dependent (cd) on a; or the first alone."""
     succ: dict[str, list[str]] = {}
     for a, b in sorted(set(edges)):
         succ.setdefault(a, []).append(b)
     dom = dominators(entry, succ)
+    if only_dom:
+        yield from (("dom", a, b) for b in sorted(dom) for a in sorted(dom[b]))
+        return
     back: dict[str, list[str]] = {}
     for a, bs in succ.items():
         for b in bs:
@@ -76,7 +85,7 @@ def analyse(blocks: list[str], entry: str, edges: list[tuple[str, str]]) -> Iter
         yield "cd", a, b
 
 
-def dominance(blocks: DataFrame, cfg_edges: DataFrame) -> DataFrame:
+def dominance(blocks: DataFrame, cfg_edges: DataFrame, only_dom: bool = False) -> DataFrame:
     """(fn, relation, a, b) for blocks(fn, block_id, block_type) and cfg_edges(fn, src, dst). Functions are small, so each
     is worked on as a group; blocks that the entry doesn't reach dominate nothing."""
 
@@ -84,7 +93,7 @@ def dominance(blocks: DataFrame, cfg_edges: DataFrame) -> DataFrame:
         if b.empty:
             return pd.DataFrame(columns=["fn", "relation", "a", "b"])
         entry = b.block_id[b.block_type == "entry"]
-        found = analyse(b.block_id.tolist(), (entry.min() if len(entry) else b.block_id.min()), list(zip(e.src, e.dst)))
+        found = analyse(b.block_id.tolist(), (entry.min() if len(entry) else b.block_id.min()), list(zip(e.src, e.dst)), only_dom)
         return pd.DataFrame([(b.fn.iloc[0], *x) for x in found], columns=["fn", "relation", "a", "b"])
 
     own = cfg_edges.select(F.col("fn").alias("_f"), "src", "dst").withColumnRenamed("_f", "fn")  # both may come from one table

@@ -423,12 +423,12 @@ _BLOCKS = "o AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_
 
 def _user_blocks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """A control-flow graph for each user over all events: of every four, a branch at the first, a jump at the second and a loop at the last."""
-    o = read(spark, d, "events").withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select(F.col("user_id").cast("string").alias("fn"), "rn")
-    name = F.format_string("b%02d", "rn")
-    blocks = o.select("fn", name.alias("block_id"), F.when(F.col("rn") == 1, "entry").otherwise("normal").alias("block_type"))
-    to = o.select("fn", F.col("rn").alias("t"), name.alias("dst"))
-    on = "t = rn + 1 and rn % 4 <> 2 or t = rn + 2 and rn % 4 in (1, 2) or t = rn - 3 and rn % 4 = 0"
-    return blocks, o.withColumn("src", name).join(to, "fn").where(on).select("fn", "src", "dst")
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    o = read(spark, d, "events").withColumn("rn", rn).withColumn("n", F.count("*").over(Window.partitionBy("user_id"))).select(F.col("user_id").cast("string").alias("fn"), "rn", "n")
+    name = lambda c: F.format_string("b%02d", c)
+    blocks = o.select("fn", name("rn").alias("block_id"), F.when(F.col("rn") == 1, "entry").otherwise("normal").alias("block_type"))
+    to = F.expr("filter(array(if(rn % 4 <> 2, rn + 1, 0), if(rn % 4 in (1, 2), rn + 2, 0), if(rn % 4 = 0, rn - 3, 0)), t -> t between 1 and n)")
+    return blocks, o.where("fn is not null").select("fn", name("rn").alias("src"), F.explode(to).alias("t")).select("fn", "src", name("t").alias("dst"))
 
 
 @query(f"""WITH RECURSIVE {_BLOCKS}, x AS (SELECT user_id, rn AS removed FROM b UNION ALL SELECT DISTINCT user_id, 0 FROM b),
@@ -438,7 +438,7 @@ WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = u.user_id AND r.removed = x.
 def dominators(spark, d):
     """A dominates b if b can't be reached without a."""
     blocks, edges = _user_blocks(spark, d)
-    return dominance(blocks, edges).where("relation = 'dom'").select("fn", "a", "b")
+    return dominance(blocks, edges, only_dom=True).select("fn", "a", "b")
 
 
 @query(None)

@@ -250,3 +250,13 @@ def test_taint_paths_within_groups_by_brute_force(spark):
     assert sorted((r["source"], r["path"]) for r in out) == sorted(brute)
     for r in out:
         assert r["hops"] == len(r["path"]) - 1 == len(r["etypes"]) and [p for s, p in brute if s == r["source"] and p[-1] == r["sink"]][r["nth"] - 1] == r["path"]
+
+
+def test_blocks_of_users_make_no_pairs_and_dominators_alone(spark):
+    """Edges come from each event alone, not from all pairs of a user's; dominators can be asked for without the rest."""
+    from flowspar.plans import registry
+
+    blocks, edges = registry._user_blocks(spark, "/root/testdata/sf0.001")
+    assert "Join" not in edges._jdf.queryExecution().executedPlan().toString()
+    arrows = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d")]
+    assert list(DO.analyse(list("abcd"), "a", arrows, True)) == [x for x in DO.analyse(list("abcd"), "a", arrows) if x[0] == "dom"]
