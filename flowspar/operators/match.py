@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flowspar.sources.durable import durable
+from flowspar.sources.durable import durable, unsent
 
 
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -124,15 +124,49 @@ def _sweep(width: int, own: str | None, other: str | None):
     return run
 
 
-def tiers(left: DataFrame, right: DataFrame, left_key: list[str], conditions: list[tuple[str, Column]], columns: list[Column]) -> DataFrame:
-    """Cascading joins: a left row takes the matches of the first condition that has any. ``conditions`` are (tier, join
-    condition) over left and right with names of their own; the result is columns plus tier."""
-    rest, out = left, None
-    for tier, on in conditions:
-        hit = durable(rest.join(right, on).select(*left_key, *columns, F.lit(tier).alias("tier")), "tier")  # later tiers read it
-        out = hit if out is None else out.unionByName(hit)
-        rest = rest.join(hit.select(*left_key).distinct(), left_key, "left_anti")
-    return out
+#: Pairs that a task of ``tiers`` makes on average, and rows of one key that are handed on together.
+PAIRS, PIECE = 16_000_000, 1024
+
+
+def tiers(left: DataFrame, right: DataFrame, left_key: list[str], conditions: list[tuple[str, list[Column], list[Column]]], columns: list[str]) -> DataFrame:
+    """Cascading equi-joins: a left row takes all matches of the first condition that has any for its left_key.
+    ``conditions`` are (tier, keys of left, keys of right); the result is left_key, columns of right and tier.
+
+    A tier is known from the right rows' keys alone, so only left rows are written, not pairs. The number of pairs grows
+    with the square of a key's rows: rows of a key are put together in pieces of some PIECE rows, each two pieces that meet
+    are a unit of at most about PIECE ** 2 pairs, and units are dealt out to as many tasks as there are PAIRS pairs."""
+    keys = [[f"_k{t}_{i}" for i in range(len(on))] for t, (_, on, _) in enumerate(conditions)]
+    named = lambda side: [c.alias(k) for ks, x in zip(keys, conditions) for c, k in zip(x[side], ks)]
+    other = durable(right.select(F.struct(*columns).alias("_right"), *named(2)), "tier_right")
+    counts = [unsent(other.groupBy(*ks).agg(F.count("*").alias(f"_n{t}"))) for t, ks in enumerate(keys)]
+    own = left.select(F.struct(*left_key).alias("_left"), *named(1))
+    for ks, count in zip(keys, counts):
+        own = own.join(count, ks, "left")
+    own = own.withColumn("_tier", F.coalesce(*(F.when(F.col(f"_n{t}").isNotNull(), t) for t in range(len(keys))))).withColumn("_pairs", F.coalesce(*(f"_n{t}" for t in range(len(keys)))))
+    first = F.min("_tier").over(Window.partitionBy(*(F.col(f"_left.{c}") for c in left_key)))
+    own = durable(own.withColumn("_first", first).where("_tier = _first").select("_left", *sum(keys, []), "_tier", "_pairs"), "tier_left")
+    total = own.agg(F.sum("_pairs")).first()[0] or 0
+    units = None
+    for t, ((tier, _, _), ks, count) in enumerate(zip(conditions, keys, counts)):
+        mine = own.where(F.col("_tier") == t)
+        some = _pieces(mine, "_left", ks, mine.groupBy(*ks).agg(F.count("*").alias("_rows")))
+        unit = some.join(unsent(_pieces(other, "_right", ks, count.withColumnRenamed(f"_n{t}", "_rows"))), ks).select(_bare("_left", left_key), _bare("_right", columns), F.lit(tier).alias("tier"))
+        units = unit if units is None else units.unionByName(unit)
+    tasks = max(-(-total // PAIRS), left.sparkSession.sparkContext.defaultParallelism)
+    rows = units.repartition(tasks).select(F.explode("_left").alias("_left"), "_right", "tier").select("_left", F.explode("_right").alias("_right"), "tier")
+    fields = lambda name, held: [F.col(name if len(held) == 1 else f"{name}.{c}").alias(c) for c in held]
+    return rows.select(*fields("_left", left_key), *fields("_right", columns), "tier")
+
+
+def _bare(name: str, fields: list[str]) -> Column:
+    """An array of structs; where they have one field, of its values, which are taken apart without an object for each."""
+    return F.col(name if len(fields) > 1 else f"{name}.{fields[0]}").alias(name)
+
+
+def _pieces(df: DataFrame, value: str, keys: list[str], counts: DataFrame) -> DataFrame:
+    """keys and arrays of some PIECE values with these keys; ``counts`` has the _rows of each key."""
+    piece = F.pmod(F.xxhash64(value), F.ceil(F.col("_rows") / PIECE))
+    return df.join(unsent(counts), keys).groupBy(*keys, piece.alias("_piece")).agg(F.collect_list(value).alias(value))
 
 
 def exact_or_first(left: DataFrame, right: DataFrame, left_key: list[str], exact: list[str], group: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -275,8 +275,9 @@ def three_tier_match(spark, d):
     number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).cast("bigint")
     c = read(spark, d, "customer").select("c_custkey", "c_nationkey", number("c_name").alias("cn"))
     s = read(spark, d, "supplier").select("s_suppkey", "s_nationkey", number("s_name").alias("sn"))
-    on = [("high", F.col("cn") == F.col("sn")), ("medium", (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("s_suppkey") % 7 == F.col("c_custkey") % 7)), ("low", F.col("s_suppkey") % 20 == F.col("c_custkey") % 20)]
-    return M.tiers(c, s, ["c_custkey"], on, [F.col("s_suppkey")])
+    high, low = ([F.col("cn")], [F.col("sn")]), ([F.col("c_custkey") % 20], [F.col("s_suppkey") % 20])
+    medium = [F.col("c_nationkey"), F.col("c_custkey") % 7], [F.col("s_nationkey"), F.col("s_suppkey") % 7]
+    return M.tiers(c, s, ["c_custkey"], [("high", *high), ("medium", *medium), ("low", *low)], ["s_suppkey"])
 
 
 @query("""WITH e AS (SELECT l.doc_id, b.doc_id AS linked FROM labels l JOIN documents a ON a.doc_id = l.doc_id JOIN documents b ON b.source = a.source AND b.lang = a.lang AND b.doc_id = l.doc_id + 20),

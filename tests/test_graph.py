@@ -260,3 +260,24 @@ def test_blocks_of_users_make_no_pairs_and_dominators_alone(spark):
     assert "Join" not in edges._jdf.queryExecution().executedPlan().toString()
     arrows = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d")]
     assert list(DO.analyse(list("abcd"), "a", arrows, True)) == [x for x in DO.analyse(list("abcd"), "a", arrows) if x[0] == "dom"]
+
+
+def test_tiers_against_all_pairs(spark, monkeypatch):
+    """Repeated rows, repeated left keys, empty keys and more than one column on either side."""
+    monkeypatch.setattr(M, "PIECE", 3)
+    rng = random.Random(5)
+    some = lambda n, k: None if rng.random() < 0.1 else rng.randrange(n) * k
+    left = [(rng.randrange(30), rng.choice("ab"), some(20, 1), some(6, 1)) for _ in range(60)]
+    right = [(rng.randrange(9), some(5, 1), some(10, 2), some(6, 1) if k % 9 else 7) for k in range(50)]
+    df, other = spark.createDataFrame(left, "a int, b string, x int, y int"), spark.createDataFrame(right, "p int, q int, u int, v int")
+    tiers = [("one", ["x", "y"], ["u", "v"]), ("two", ["x"], ["u"]), ("three", ["y"], ["v"])]
+    same = [lambda l, r: l[2:] == r[2:] and None not in l[2:], lambda l, r: l[2] is not None and l[2] == r[2], lambda l, r: l[3] is not None and l[3] == r[3]]
+    for key in ["a", "b"], ["a"]:
+        took, expected = {}, []
+        for (tier, *_), on in zip(tiers, same):
+            hit = [(l[: len(key)], r, tier) for l, r in product(left, right) if l[: len(key)] not in took and on(l, r)]
+            took |= {l: tier for l, _, _ in hit}
+            expected += [(*l, *r[:2], tier) for l, r, _ in hit]
+        got = M.tiers(df, other, key, [(t, [df[c] for c in a], [other[c] for c in b]) for t, a, b in tiers], ["p", "q"])
+        assert got.columns == [*key, "p", "q", "tier"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected))
+        assert set(took.values()) == {"one", "two", "three"}

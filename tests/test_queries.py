@@ -2,10 +2,13 @@
 
 import subprocess
 import sys
+from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from flowspar.operators import match as M
 from flowspar.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +62,18 @@ def test_span_join_rounds_seconds_as_sql_does(spark, con, tmp_path):
     sql = registry.oracle_sql()["span_join"].replace("FROM events)", f"FROM '{tmp_path}/events.parquet')")
     got = registry.queries()["span_join"](spark, str(tmp_path)).select("event_id", "events").collect()
     assert plain(map(tuple, got)) == plain(con.execute(f"SELECT event_id, events FROM ({sql})").fetchall())
+
+
+def test_three_tier_match_of_a_hot_key_in_many_tasks(spark, con, tmp_path, monkeypatch):
+    """Nearly all rows have one nation and one remainder: their pairs are all there, and no task makes more than its share."""
+    monkeypatch.setattr(M, "PAIRS", 1000, raising=False)
+    monkeypatch.setattr(M, "PIECE", 8, raising=False)
+    for table, key, rows, name in ("customer", "c_custkey", 300, 100), ("supplier", "s_suppkey", 150, 390):
+        some = f"select i * 7 as {key}, 'N#' || (i + {name}) as {key[0]}_name, case when i = 5 then null else 3 end::int as {key[0]}_nationkey from range({rows}) r(i)"
+        con.execute(f"copy ({some} union all select 7 * i + 1, 'M{key[0]}#' || (i + {name + 5000}), i::int from range(1000, 1010) r(i)) to '{tmp_path}/{table}.parquet'")
+    sql = registry.oracle_sql()["three_tier_match"].replace("FROM customer", f"FROM '{tmp_path}/customer.parquet'").replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet'")
+    df = registry.queries()["three_tier_match"](spark, str(tmp_path))
+    got = df.withColumn("_task", F.spark_partition_id()).collect()
+    assert plain((r["c_custkey"], r["s_suppkey"], r["tier"]) for r in got) == plain(con.execute(sql).fetchall())
+    assert {r["tier"] for r in got} == {"high", "medium", "low"} and len(got) > 40_000
+    assert max(Counter(r["_task"] for r in got).values()) < 3000
